@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hash_tree, mixing, simhash
+from . import exact_dedup, hash_tree, importance, mixing, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,12 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the resampling draws."""
+    drawn = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return drawn.where("kept").select(F.col("id").alias("doc_id"), "log_weight", "kept")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(_read(spark, sf_dir, "documents"))
 
@@ -34,6 +40,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_importance": op1_importance,
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
