@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, hash_tree, importance, mixing, simhash
+from . import chat, exact_dedup, hash_tree, importance, mixing, records, simhash, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +37,39 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = records.export_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of what the formatted conversations hold."""
+    for batch in batches:
+        out = []
+        for text, loss in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            turns = chat.parse(text)
+            spoken = "".join(chat.unescape(text[x["start"] : x["end"]]) for x in loss)
+            whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+            digests = [hashlib.sha256(x.encode()).hexdigest() for x in (whole, spoken)]
+            out.append((len(turns), digests[0], len(spoken), digests[1], len(text)))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        cols = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    probe = spark.range(0, 2, 1, 1).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
+    formatted = chat.format_conversations(turns.unionByName(probe)).select("conv_id", "formatted", "loss")
+    kinds = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return formatted.mapInArrow(_read_back, kinds)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, grown = hash_tree.uniform_tree(24), hash_tree.uniform_tree(25)
     return hash_tree.assign_shards(_read(spark, sf_dir, "documents"), tree, grown)
@@ -44,6 +80,9 @@ QUERIES: dict[str, Query] = {
     "op2_simhash": op2_simhash,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_mixing": op4_mixing,
+    "op5_token_counts": op5_token_counts,
+    "op6_records": op6_records,
+    "op9_chat": op9_chat,
     "op10_sharding": op10_sharding,
 }
 
@@ -59,4 +98,18 @@ ORACLES: dict[str, str] = {
           FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
     """,
+    "op9_chat": r"""
+        WITH t AS (
+          SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+          UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+        c AS (
+          SELECT conv_id, count(*) AS n_turns,
+                 string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS whole,
+                 coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS spoken,
+                 CAST(sum(13 + length(regexp_replace(role, '[\\#<\n]', 'xx', 'g')) + length(regexp_replace(text, '[\\#<]', 'xx', 'g'))) AS BIGINT) AS formatted_chars
+          FROM t GROUP BY conv_id)
+        SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(spoken) AS loss_chars,
+               sha256(spoken) AS loss_sha256, formatted_chars FROM c
+    """,
 }
