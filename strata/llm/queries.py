@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, hash_tree, importance, mixing, records, simhash, wordpiece
+from . import chat, decontaminate, exact_dedup, hash_tree, importance, mixing, records, simhash, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,10 @@ def op6_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of what the formatted conversations hold."""
     for batch in batches:
@@ -82,6 +86,7 @@ QUERIES: dict[str, Query] = {
     "op4_mixing": op4_mixing,
     "op5_token_counts": op5_token_counts,
     "op6_records": op6_records,
+    "op7_decontamination": op7_decontamination,
     "op9_chat": op9_chat,
     "op10_sharding": op10_sharding,
 }
@@ -98,6 +103,19 @@ ORACLES: dict[str, str] = {
           FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
     """,
+    "op7_decontamination": r"""
+        WITH words AS (
+          SELECT 'd' AS side, doc_id AS id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents
+          UNION ALL
+          SELECT 'i', min(item_id), string_split(norm, ' ') FROM (
+            SELECT item_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM benchmark) GROUP BY norm),
+        places AS (SELECT side, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS p FROM words WHERE w <> ['']),
+        shingles AS (SELECT DISTINCT side, id, array_to_string(w[p:p + 4], ' ') AS s FROM places),
+        items AS (SELECT id AS item_id, s, count(*) OVER (PARTITION BY id) AS n FROM shingles WHERE side = 'i')
+        SELECT d.id AS doc_id, i.item_id, i.n AS n_shingles, count(*) AS n_shared, count(*) / i.n AS containment
+        FROM shingles d JOIN items i ON d.s = i.s WHERE d.side = 'd'
+        GROUP BY d.id, i.item_id, i.n HAVING count(*) >= ceil(0.8 * i.n - 1e-9)
+    """,
     "op9_chat": r"""
         WITH t AS (
           SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
