@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact_dedup, hash_tree, importance, mixing, records, simhash, wordpiece
+from . import chat, decontaminate, exact_dedup, hash_tree, importance, mixing, pii, records, simhash, wordpiece
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_read(spark, sf_dir, "documents"))
+    ranks = F.transform("base", lambda x: x["rank"])
+    counts = [(F.size(ranks) - F.size(F.array_remove(ranks, k))).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.listing(F.col("base")), 256).alias("base_sha256"), pii.listing(pii.all_spans()).alias("spans"))
+
+
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of what the formatted conversations hold."""
     for batch in batches:
@@ -87,6 +94,7 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op6_records": op6_records,
     "op7_decontamination": op7_decontamination,
+    "op8_pii": op8_pii,
     "op9_chat": op9_chat,
     "op10_sharding": op10_sharding,
 }
