@@ -6,21 +6,44 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import hash_tree, mixing
+from strata.llm import decontaminate, hash_tree, importance, mixing, simhash
 from strata.llm.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that importance resampling draws; a table without good and bad labelled rows stays whole."""
+    return importance.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
+    return simhash.drop_near_duplicates(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
     return mixing.apply_mix(docs, mixing.mix(docs))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row's shard among 24, its slot there, and its shard among 25."""
     return hash_tree.assign_shards(docs, hash_tree.uniform_tree(24), hash_tree.uniform_tree(25))
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix), ("sharding", shard)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality classifier", quality),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
 #: Hash draws and the learnt model are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
@@ -30,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -15,7 +15,8 @@ shards in the same way: an integer quota per shard.
 
 Within a shard, documents lie end to end in the order of a seeded hash. A quota
 takes whole passes over the shard's blocks and then a seeded systematic draw of
-the rest: of n blocks, r are chosen evenly from a seeded start. What a document
+the rest: of n blocks, r are chosen evenly from a seeded start. (The last block takes what is
+left, up to half a block more or less.) What a document
 gives is the overlap of its stretch with the chosen blocks, in closed form; no
 block is ever a row.
 
@@ -112,7 +113,7 @@ def mix(
     rows = base.join(planned, "skey").withColumn("g", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "id"), F.col("cuts")))
     shards = rows.groupBy("skey", "g", "seats", "block").agg(F.sum("size").alias("words"))
     quotas = highest_quotients(shards, ["skey"], ["g"], "words", "seats")
-    quotas = quotas.select("skey", "g", "words", "quota", F.greatest(F.lit(1), F.ceil(F.col("words") / F.col("block"))).cast("long").alias("nb"))
+    quotas = quotas.select("skey", "g", "words", "quota", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long").alias("nb"))
     quotas = quotas.withColumn("quota", F.least("quota", (F.lit(most) * F.col("nb")).cast("long")))
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "skey", "g"), F.col("nb"))
     quotas = quotas.select("skey", "g", "quota", "nb", F.floor(F.col("quota") / F.col("nb")).alias("passes"), F.pmod("quota", "nb").alias("rest"), start.alias("start"))
@@ -126,7 +127,7 @@ def mix(
 
     def given(x: Column) -> Column:
         """Words of the chosen blocks before place x."""
-        j = F.floor(x / F.col("block"))
+        j = F.least(F.floor(x / F.col("block")), F.col("nb") - 1)
         part = (chosen_before(j + 1) - chosen_before(j)) * (x - j * F.col("block"))
         return chosen_before(j) * F.col("block") + part
 
