@@ -37,6 +37,7 @@ empty table writes no frames. Other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 import zlib
@@ -95,6 +96,7 @@ class Encoder:
     """Texts to ids as bytes; the tokenizer's file is read once on the driver and travels as text."""
 
     def __init__(self, spec: str, wide: bool):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of a pool would spin
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kind, self.cache = Tokenizer.from_str(spec), "I" if wide else "H", {}
@@ -168,7 +170,7 @@ def write_records(docs: DataFrame, path: str, spec: str, vocabulary: int, id_col
         first = None
         with fs.open_output_stream(f"{root}/{name}") as out, fs.open_output_stream(f"{root}/{name}.idx") as index:
             for batch in batches:
-                for part in slices(batch, 1, 1_000_000):
+                for part in slices(batch, 1, 4_000_000):
                     for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                         if not rows_done:
                             first = doc_id
