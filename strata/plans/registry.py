@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import aggregates, relational
 
-from pyspark.sql import DataFrame, SparkSession
+FAMILIES = (relational, aggregates)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = {name: query for family in FAMILIES for name, query in family.R.queries.items()}
+ORACLES = {name: sql for family in FAMILIES for name, sql in family.R.oracles.items()}
