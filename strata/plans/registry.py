@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, relational
+from . import aggregates, changes, dialects, graphs, relational, temporal
 
-FAMILIES = (relational, aggregates)
+FAMILIES = (relational, aggregates, temporal, graphs, changes, dialects)
 
 QUERIES = {name: query for family in FAMILIES for name, query in family.R.queries.items()}
 ORACLES = {name: sql for family in FAMILIES for name, sql in family.R.oracles.items()}
