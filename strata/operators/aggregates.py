@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -71,3 +71,38 @@ def cube(df: DataFrame, dims: list[str], *aggs: Column) -> DataFrame:
 
 def rollup(df: DataFrame, dims: list[str], *aggs: Column) -> DataFrame:
     return df.rollup(*dims).agg(*aggs)
+
+
+def percentiles_by_rank(df: DataFrame, groups: list[str], column: str, ps: dict[str, float]) -> DataFrame:
+    """groups and one column per entry of ps (name -> p): exact interpolated percentiles for groups of any size.
+
+    percentile() holds a group's distinct values in one task. Here rows are range-partitioned by
+    (group, value), so a hot group spreads over tasks; each task ranks its own rows, the counts before a
+    task (tasks x groups small rows) shift them, and only the rows at the wanted places meet.
+    """
+    from ..scratch import materialize
+
+    rows = df.select(*groups, F.col(column).cast("double").alias("__v")).where("__v IS NOT NULL")
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(rows.repartitionByRange(parts, *groups, "__v").withColumn("__p", F.spark_partition_id()), "percentile")
+    counts = ranged.groupBy("__p", *groups).agg(F.count(F.lit(1)).alias("__c"))
+    group = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("__c").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = counts.select("__p", *groups, before.alias("__b"), F.sum("__c").over(group).alias("__n"))
+    same = F.lit(True)
+    named = shifts.select(F.col("__p").alias("__sp"), *[F.col(g).alias(f"__s{i}") for i, g in enumerate(groups)], "__b", "__n")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"__s{i}"))
+    ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p", *groups).orderBy("__v")) - 1)
+    placed = ranked.join(named, (F.col("__p") == F.col("__sp")) & same).withColumn("__at", F.col("__r") + F.col("__b"))
+    places = {name: min(1.0, max(0.0, p)) * (F.col("__n") - 1) for name, p in ps.items()}
+    wanted = F.lit(False)
+    for at in places.values():
+        wanted = wanted | (F.col("__at") == F.floor(at)) | (F.col("__at") == F.ceil(at))
+    aggs = []
+    for name, at in places.items():
+        low = F.max(F.when(F.col("__at") == F.floor(at), F.col("__v")))
+        high = F.max(F.when(F.col("__at") == F.ceil(at), F.col("__v")))
+        part = F.max(at - F.floor(at))
+        aggs.append((low + (high - low) * part).alias(name))
+    return placed.where(wanted).groupBy(*groups).agg(*aggs)

@@ -50,6 +50,12 @@ def _(t):
     return t("lineitem").groupBy("l_returnflag").agg(F.round(agg.percentile("l_extendedprice", 0.95), 4).alias("p95"), F.round(agg.percentile("l_extendedprice", 0.1), 4).alias("p10"))
 
 
+@R.code("percentile_by_rank", "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50 FROM lineitem GROUP BY ALL")
+def _(t):
+    found = agg.percentiles_by_rank(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p95": 0.95, "p50": 0.5})
+    return found.select("l_returnflag", "l_linestatus", F.round("p95", 4).alias("p95"), F.round("p50", 4).alias("p50"))
+
+
 @R.code("mode", "SELECT l_returnflag, min(l_quantity) AS m FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY n DESC) AS r FROM (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE r = 1 GROUP BY l_returnflag")
 def _(t):
     return t("lineitem").groupBy("l_returnflag").agg(agg.mode("l_quantity").alias("m"))

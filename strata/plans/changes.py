@@ -225,6 +225,39 @@ def _(t):
     return t("customer").groupBy(sharding.list_shard(F.col("c_mktsegment"), {"BUILDING": 1, "MACHINERY": 2}).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@R.code("shard_routed", "SELECT o_orderkey FROM orders WHERE o_totalprice > 50000 AND o_totalprice <= 150000")
+def _(t):
+    from ..scratch import scratch_path
+
+    orders = t("orders")
+    path = scratch_path(orders.sparkSession, "sharded")
+    sharding.write_sharded(orders, sharding.range_shard(F.col("o_totalprice"), [50000, 150000, 300000]), path)
+    (one,) = sharding.route({"shard_of": 100000}, "shard_of", 3, lambda v: 0 if v <= 50000 else 1 if v <= 150000 else 2)
+    return orders.sparkSession.read.parquet(path).where(F.col("shard") == one).select("o_orderkey")
+
+
+@R.code("archived_scan", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-13 00:00:00'")
+def _(t):
+    from ..operators.timeseries import bucket_id
+    from ..scratch import scratch_path
+
+    e = t("events")
+    path = scratch_path(e.sparkSession, "archive")
+    tables.archive(e, path, bucket_id("events", "ts", "day"))
+    return tables.read_archived(e.sparkSession, path, "events_Day_20240110", "events_Day_20240112").select("event_id")
+
+
+@R.code("migrated_scan", "SELECT count(*) AS n, sum(p_size)::BIGINT AS s FROM part")
+def _(t):
+    from ..scratch import scratch_path
+
+    part = t("part")
+    first, second = scratch_path(part.sparkSession, "old"), scratch_path(part.sparkSession, "new")
+    tables.append(part, first)
+    tables.migrate(part.sparkSession, first, second, "orc")
+    return part.sparkSession.read.orc(second).agg(F.count(F.lit(1)).alias("n"), F.sum("p_size").alias("s"))
+
+
 @R.code("conflict_lww", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
 def _(t):
     return sharding.lww(t("events"), ["user_id"], "event_type", "ts", "event_id")
