@@ -1,40 +1,5 @@
-"""Cutting lineage through tables in the folder that all executors share.
+"""Cutting lineage: the library's own helpers (see strata/scratch.py)."""
 
-Spark's own folder setting ``spark.checkpoint.dir`` names that place. It is read
-from the session; only where it is unset (a local session, as in tests) is a
-temporary folder chosen.
-"""
+from ..scratch import materialize, scratch_path, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_local_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder's URI, without a trailing slash."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        _local_dirs[app] = "file://" + tempfile.mkdtemp(prefix="strata-")
-    return _local_dirs[app]
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/strata/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: later plans start from files that outlive executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "scratch_path", "shared_dir"]
