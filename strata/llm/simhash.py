@@ -284,13 +284,14 @@ def near_links(classes: DataFrame, max_bits: int, crowd: int = 64) -> DataFrame:
     open_keys = held.join(crowded, "key", "left_anti") if some else held
     left, right = probes.select("key", F.col("fp").alias("a")), open_keys.select("key", F.col("fp").alias("b"))
     near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    links = left.join(right, (left["key"] == right["key"]) & near).select("a", "b")
+    # Spark sizes a mapInArrow by its input; a hint keeps what it multiplies from being broadcast.
+    links = left.hint("merge").join(right, (left["key"] == right["key"]) & near).select("a", "b")
     if some:
         inside = held.union(probes).join(crowded, "key", "left_semi").select("fp").distinct()
         inside = materialize(inside, "crowd")
         points = inside.mapInArrow(around, kind)
         first = points.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("key", "b")
-        meet = points.join(first, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+        meet = points.hint("merge").join(first, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
         links = links.union(meet)
     return links
 
