@@ -19,8 +19,9 @@ within their thresholds, and every candidate is verified by its bit count.
 emit all pairs of a dense group. It is taken out of the index, and every class
 that holds or probes it goes another exact way: it names all points within
 max_bits / 2 bits of itself. Two fingerprints are within max_bits bits exactly if
-they name a common point (max_bits is even), so linking each point's classes to the smallest of them
-yields the same components with rows in proportion to the classes.
+they name a common point (max_bits is even). Each class takes the smallest class among its points as label and links to it;
+then each point links the labels that meet there to the smallest of them. The components are
+the same, and the links are about as many as the classes.
 
 *Components* come from star rounds (see components.py); no links or
 fingerprints reach the driver.
@@ -269,12 +270,13 @@ def near_links(classes: DataFrame, max_bits: int, crowd: int = 64) -> DataFrame:
                             yield _pairs_batch((values[own][:, None] ^ flips[None, :]).ravel(), np.repeat(fps[own], len(flips)))
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(fp, label) -> (point, label) for every point within max_bits / 2 of fp."""
         flips = radius_masks(BITS, max_bits // 2)
         for batch in batches:
-            every = _fps(batch)
+            every, labels = _fps(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for at in range(0, len(every), 512):
                 fps = every[at : at + 512]
-                yield _pairs_batch((fps[:, None] ^ flips[None, :]).ravel(), np.repeat(fps, len(flips)))
+                yield _pairs_batch((fps[:, None] ^ flips[None, :]).ravel(), np.repeat(labels[at : at + 512], len(flips)))
 
     kind = "key long, fp long"
     held = materialize(classes.select("fp").mapInArrow(index, kind), "index")
@@ -289,9 +291,14 @@ def near_links(classes: DataFrame, max_bits: int, crowd: int = 64) -> DataFrame:
     if some:
         inside = held.union(probes).join(crowded, "key", "left_semi").select("fp").distinct()
         inside = materialize(inside, "crowd")
-        points = inside.mapInArrow(around, kind)
+        points = inside.select("fp", F.col("fp").alias("label")).mapInArrow(around, kind)
         first = points.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("key", "b")
-        meet = points.hint("merge").join(first, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+        label = points.hint("merge").join(first, "key").groupBy("fp").agg(F.min("b").alias("label"))
+        label = materialize(label, "crowd-labels")
+        named = label.mapInArrow(around, kind).distinct()
+        low = named.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("key", "b")
+        across = named.hint("merge").join(low, "key").where("fp <> b").select(F.col("fp").alias("a"), "b").distinct()
+        meet = label.where("fp <> label").select(F.col("fp").alias("a"), F.col("label").alias("b")).union(across)
         links = links.union(meet)
     return links
 
