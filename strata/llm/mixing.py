@@ -145,13 +145,33 @@ def mix(
     )
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The mixed documents, with the columns of docs: each whole document as often as the words taken from it, rounded.
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 5) -> DataFrame:
+    """The mixed documents, with the columns of docs: each whole document taken / size times, without bias.
 
-    Rows that share an id come as often as the id's rows together give, spread over those rows.
+    A row comes floor(taken / size) times, and once more if the draw of the remainders falls on it: along each source's
+    shard, in order of size, the fractions add up from a seeded start, and each whole number passed is one copy. In that
+    order the words delivered differ from the words taken by at most the shard's largest document.
+    Rows alike in id, source and size share their copies evenly.
     """
-    per_id = mixed.groupBy("doc_id").agg(F.sum("taken").alias("__taken"), F.sum("size").alias("__size")).withColumnRenamed("doc_id", "__id")
-    times = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size"))).otherwise(0).cast("int")
-    joined = docs.join(per_id.withColumn("__times", times), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")))
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("__times")))
+    skey = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
+    ikey = lambda c: F.coalesce(c.cast("string"), F.lit("n"))
+    rows = mixed.where("size > 0").select(
+        ikey(F.col("doc_id")).alias("__id"), skey(F.col("source")).alias("__source"), F.col("size").alias("__size"), "taken", "mix_shard"
+    )
+    line = Window.partitionBy("__source", "mix_shard").orderBy("__size", F.xxhash64(F.lit(seed), F.lit("copy"), "__id"), "__id", "taken")
+    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "__source", "mix_shard"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    owed = F.sum(F.pmod("taken", "__size") / F.col("__size")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("__passed", F.floor(owed + start))
+    drawn = F.col("__passed") - F.lag("__passed", 1, 0).over(line)
+    rows = rows.withColumn("__times", F.floor(F.col("taken") / F.col("__size")) + drawn)
+    keys = ["__id", "__source", "__size"]
+    alike = rows.groupBy(*keys).agg(F.sum("__times").alias("__times"), F.count(F.lit(1)).alias("__alike")).where("__times > 0")
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.withColumns({
+        "__id": ikey(F.col(f"`{id_col}`").cast("long")), "__source": skey(F.col(f"`{source_col}`").cast("string")), "__size": word_count(text),
+    })
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text)))
+    joined = keyed.withColumn("__nth", nth).join(alike, keys)
+    upto = lambda k: F.floor(F.col("__times") * k / F.col("__alike"))
+    copies = F.explode(F.array_repeat(F.lit(1), (upto(F.col("__nth")) - upto(F.col("__nth") - 1)).cast("int")))
     return joined.withColumn("__copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
