@@ -40,7 +40,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import slices
@@ -331,15 +331,19 @@ def drop_near_duplicates(
     max_bits: int = 4,
     verify_width: int = 5,
     similarity: float = 0.8,
-    rounds: int = 6,
 ) -> DataFrame:
     """The documents that stay, one of each group of near copies, with the columns of docs.
 
-    Fingerprints of the set of single words find components; within one, a leader (smallest id)
-    takes out every text whose Jaccard similarity of `verify_width`-word shingles with it is at
-    least `similarity`. What is left chooses a new leader; after `rounds` rounds the rest stays,
-    so nothing goes that was not verified. Copies of one text (same lower-cased words) go
-    with their first row. Null ids come last when a leader is chosen.
+    Fingerprints of the set of single words find components; within one, no two texts stay whose Jaccard similarity of
+    `verify_width`-word shingles is at least `similarity`, and each that goes was verified against one that stays.
+    Copies of one text (same lower-cased words) go with their first row.
+
+    Texts of that similarity share one of their first n - ceil(similarity * n) + 1 shingles in hash order (tokens). In each
+    round the first k texts of every token are its leaders and are compared with all texts that hold it. A leader in all its
+    tokens has met every earlier candidate; if none of them is similar it stays, and the texts similar to it go. The first
+    text left always does, so the loop ends by itself. The first round (k = 1) goes by the smallest id, null ids last, and
+    thins dense groups; k grows fourfold a round, and later rounds take a new hashed order each, so chains of versions
+    need few rounds.
     """
     kept = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "near-docs")
     order = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.col("__rid").alias("rid")]
@@ -350,7 +354,7 @@ def drop_near_duplicates(
     roots = materialize(components(near_links(texts.select("fp").distinct(), max_bits)), "near-roots")
     rooted = texts.join(roots, texts["fp"] == roots["node"], "left").select("rid", "ord", F.coalesce("root", "fp").alias("root"))
     sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    left = materialize(rooted.join(sizes, "root", "left_semi"), "near-left")
+    some = materialize(rooted.join(sizes, "root", "left_semi"), "near-left")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,19 +362,36 @@ def drop_near_duplicates(
                 own = [np.unique(shingle_hashes(t, verify_width)).view(np.int64) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["rid", "set"])
 
-    wanted = kept.select(F.col("__rid").alias("rid"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("t")).join(left.select("rid"), "rid", "left_semi")
+    wanted = kept.select(F.col("__rid").alias("rid"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("t")).join(some.select("rid"), "rid", "left_semi")
     shingles = materialize(wanted.mapInArrow(sets, "rid long, set array<long>"), "near-sets")
     gone = rows.join(texts.select("rid"), "rid", "left_anti").select("rid")
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
-        leaders = left.groupBy("root").agg(F.min(F.struct("ord", "rid")).alias("l")).select("root", F.col("l.rid").alias("leader"))
-        pairs = left.join(leaders, "root").where("rid <> leader")
-        pairs = pairs.join(shingles, "rid").join(shingles.select(F.col("rid").alias("leader"), F.col("set").alias("lead")), "leader")
-        common = F.size(F.array_intersect("set", "lead"))
-        pairs = pairs.select("rid", "ord", "root", (common >= F.lit(similarity) * (F.size("set") + F.size("lead") - common)).alias("same"))
-        pairs = materialize(pairs, "near-pairs")
-        gone = gone.union(pairs.where("same").select("rid"))
-        left = pairs.where("NOT same").select("rid", "ord", "root")
+    n = F.size("set")
+    first = F.slice("set", 1, (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int"))
+    tokens = shingles.where(n > 0).join(some, "rid").select("rid", "ord", n.alias("n"), F.explode(first).alias("token"), "root")
+    tokens = materialize(tokens.withColumn("token", F.xxhash64("root", "token")).drop("root").distinct(), "near-tokens")
+    turn, k = 0, 1
+    while not tokens.isEmpty():
+        order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "ord"), "ord", "rid")
+        live = tokens.withColumn("prio", order)
+        if k == 1:
+            heads = live.groupBy("token").agg(F.min(F.struct("prio", "n")).alias("l")).select("token", "l.prio", "l.n")
+        else:
+            nth = F.row_number().over(Window.partitionBy("token").orderBy("prio"))
+            heads = live.withColumn("nth", nth).where(F.col("nth") <= k).select("token", "prio", "n")
+        heads = materialize(heads.select("token", F.col("prio.rid").alias("lead"), F.col("prio").alias("lead_prio"), F.col("n").alias("lead_n")), "near-heads")
+        near = (F.col("rid") != F.col("lead")) & (F.least("n", "lead_n") >= F.lit(similarity) * F.greatest("n", "lead_n"))
+        pairs = live.join(heads, "token").where(near).select("rid", "lead", (F.col("lead_prio") < F.col("prio")).alias("earlier")).distinct()
+        pairs = pairs.join(shingles, "rid").join(shingles.select(F.col("rid").alias("lead"), F.col("set").alias("lead_set")), "lead")
+        common = F.size(F.array_intersect("set", "lead_set"))
+        same = common >= F.lit(similarity) * (F.size("set") + F.size("lead_set") - common)
+        pairs = materialize(pairs.where(same).select("rid", "lead", "earlier"), "near-pairs")
+        held = tokens.groupBy("rid").agg(F.count(F.lit(1)).alias("held"))
+        led = heads.groupBy("lead").agg(F.count(F.lit(1)).alias("led")).withColumnRenamed("lead", "rid")
+        stay = led.join(held, "rid").where("led = held").select("rid").join(pairs.where("earlier").select("rid"), "rid", "left_anti")
+        stay = materialize(stay, "near-stay")
+        lost = materialize(pairs.join(stay.select(F.col("rid").alias("lead")), "lead", "left_semi").select("rid").distinct(), "near-lost")
+        gone = gone.union(lost)
+        tokens = materialize(tokens.join(stay.union(lost), "rid", "left_anti"), "near-tokens")
+        turn, k = turn + 1, 4 * k
     gone = materialize(gone.select(F.col("rid").alias("__rid")), "near-gone")
     return kept.join(gone, "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
