@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _last_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
-    """One of the rows of each key: the last by `order`."""
+def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """One of the rows of each key, the first by `order`; all rows with a NULL in their key, which never conflicts."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    loose = F.lit(False)
+    for k in keys:
+        loose = loose | F.col(k).isNull()
+    return rows.withColumn("__n", F.row_number().over(w)).where((F.col("__n") == 1) | loose).drop("__n")
 
 
 def insert(target: DataFrame, rows: DataFrame, defaults: dict[str, object] | None = None) -> DataFrame:
@@ -29,15 +32,18 @@ def with_defaults(rows: DataFrame, target: DataFrame, defaults: dict[str, object
     return rows.select(*out)
 
 
-def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
     """Rows whose key is new; of several such rows the first by `order`."""
-    fresh = _last_per_key(rows, keys, order or [F.lit(1)]).join(target.select(*keys), keys, "left_anti")
-    return target.unionByName(fresh.select(*target.columns))
+    return first_per_key(rows, keys, order or [F.lit(1)]).join(target.select(*keys), keys, "left_anti").select(*rows.columns)
+
+
+def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
+    return target.unionByName(new_rows(target, rows, keys, order).select(*target.columns))
 
 
 def insert_or_replace(target: DataFrame, rows: DataFrame, keys: list[str], order: list | None = None) -> DataFrame:
-    """New rows win over old ones of the same key."""
-    fresh = _last_per_key(rows, keys, order or [F.lit(1)])
+    """New rows win over old ones of the same key; of several new ones the first by `order` (pass it descending for the last)."""
+    fresh = first_per_key(rows, keys, order or [F.lit(1)])
     return target.join(fresh.select(*keys), keys, "left_anti").select(*target.columns).unionByName(fresh.select(*target.columns))
 
 
@@ -54,9 +60,9 @@ def insert_or_abort(target: DataFrame, rows: DataFrame, keys: list[str]) -> Data
     return target.unionByName(rows.select(*target.columns))
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str], updates: dict[str, str], where: str | None = None) -> DataFrame:
-    """ON CONFLICT (keys) DO UPDATE SET column = expression [WHERE ...]; expressions see target.x and excluded.x. One full join."""
-    t, x = target.alias("target").withColumn("__t", F.lit(1)), rows.alias("excluded").withColumn("__x", F.lit(1))
+def _merged(target: DataFrame, rows: DataFrame, keys: list[str], updates: dict[str, str], where: str | None) -> DataFrame:
+    """The table after one row per key, with __written: true for rows inserted or updated."""
+    t, x = target.withColumn("__t", F.lit(1)), rows.withColumn("__x", F.lit(1))
     on = F.lit(True)
     for k in keys:
         on = on & (F.col(f"target.{k}") == F.col(f"excluded.{k}"))
@@ -69,7 +75,33 @@ def upsert(target: DataFrame, rows: DataFrame, keys: list[str], updates: dict[st
         old, new = F.col(f"target.{f.name}"), F.col(f"excluded.{f.name}") if f.name in rows.columns else F.lit(None)
         value = F.when(hit, F.expr(updates[f.name])) if f.name in updates else F.when(hit, old)
         out.append(value.otherwise(F.when(F.col("__t").isNull(), new).otherwise(old)).cast(f.dataType).alias(f.name))
-    return joined.select(*out)
+    return joined.select(*out, (hit | F.col("__t").isNull()).alias("__written"))
+
+
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], updates: dict[str, str], where: str | None = None) -> DataFrame:
+    """ON CONFLICT (keys) DO UPDATE SET column = expression [WHERE ...]; expressions see target.x and excluded.x.
+
+    One full join. Each key comes at most once in rows; see upsert_in_order for others.
+    """
+    return _merged(target, rows, keys, updates, where).drop("__written")
+
+
+def upsert_in_order(target: DataFrame, rows: DataFrame, keys: list[str], updates: dict[str, str], where: str | None, order: list) -> tuple[DataFrame, DataFrame]:
+    """The table after the rows came one by one, and the rows as each of them was written.
+
+    Rows of one key are folded in as many rounds as the key with the most rows has, each round one full join.
+    """
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    loose = F.lit(False)
+    for k in keys:
+        loose = loose | F.col(k).isNull()
+    turns = rows.withColumn("__turn", F.when(loose, 1).otherwise(nth))
+    most, written = turns.agg(F.max("__turn").alias("m")).first().m or 0, None
+    for turn in range(1, most + 1):
+        step = _merged(target, turns.where(F.col("__turn") == turn).select(*target.columns), keys, updates, where)
+        own, target = step.where("__written").drop("__written"), step.drop("__written")
+        written = own if written is None else written.union(own)
+    return target, target.limit(0) if written is None else written
 
 
 def do_nothing(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -140,21 +172,35 @@ class VersionedTable:
     def versions(self) -> list[int]:
         return [r.version for r in self._log()]
 
-    def commit(self, df: DataFrame) -> int:
-        version = (self.versions() or [0])[-1] + 1
+    def _mark(self, version: int, folders: list[str]) -> int:
+        row = self.spark.createDataFrame([(version, folders)], "version int, folders array<string>")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+        return version
+
+    def _write(self, df: DataFrame, version: int) -> str:
         folder = f"{self.path}/data/v{version}-{uuid.uuid4().hex}"
         df.write.parquet(folder)
-        self.spark.createDataFrame([(version, folder)], "version int, folder string").coalesce(1).write.mode("append").parquet(f"{self.path}/log")
-        return version
+        return folder
+
+    def commit(self, df: DataFrame) -> int:
+        """A version that is df."""
+        version = (self.versions() or [0])[-1] + 1
+        return self._mark(version, [self._write(df, version)])
+
+    def append(self, rows: DataFrame) -> int:
+        """A version with more rows: only they are written; what was there is named again."""
+        last = self._log()[-1]
+        return self._mark(last.version + 1, [*last.folders, self._write(rows.select(*self.read().columns), last.version + 1)])
 
     def read(self, version: int | None = None) -> DataFrame:
         log = self._log()
         row = next(r for r in reversed(log) if version is None or r.version == version)
-        return self.spark.read.parquet(row.folder)
+        return self.spark.read.schema(self.spark.read.parquet(row.folders[0]).schema).parquet(*row.folders)
 
     def restore(self, version: int) -> int:
-        """Make an older version current again (a rollback that keeps history)."""
-        return self.commit(self.read(version))
+        """Make an older version current again (a rollback that keeps history); nothing is copied."""
+        log = self._log()
+        return self._mark(log[-1].version + 1, next(r.folders for r in log if r.version == version))
 
     def compact(self, files: int = 1) -> int:
         return self.commit(self.read().repartition(files))
@@ -163,11 +209,13 @@ class VersionedTable:
         """Delete all but the last `keep` versions' data; gives how many went."""
         fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         conf = self.spark._jsc.hadoopConfiguration()
-        old = self._log()[:-keep]
-        for r in old:
-            p = fs_path(r.folder)
+        log = self._log()
+        kept = [(r.version, list(r.folders)) for r in log[-keep:]]
+        wanted = {f for _, folders in kept for f in folders}
+        old = {f for r in log[:-keep] for f in r.folders} - wanted
+        for folder in old:
+            p = fs_path(folder)
             p.getFileSystem(conf).delete(p, True)
-        kept = [(r.version, r.folder) for r in self._log()[-keep:]]
-        frame = self.spark.createDataFrame(kept, "version int, folder string").coalesce(1)
+        frame = self.spark.createDataFrame(kept, "version int, folders array<string>").coalesce(1)
         frame.write.mode("overwrite").parquet(f"{self.path}/log")
-        return len(old)
+        return len(log) - len(kept)
