@@ -145,6 +145,8 @@ def register(spark: SparkSession) -> None:
         "unicode_of(x STRING)": ("BIGINT", "CASE WHEN x <> '' THEN ascii(x) END"),
         "julianday_of(ts TIMESTAMP_NTZ)": ("DOUBLE", JULIANDAY_SQL),
         "unixepoch_of(ts TIMESTAMP_NTZ)": ("BIGINT", UNIXEPOCH_SQL),
+        "sync_timestamp_of()": ("BIGINT", "unix_micros(current_timestamp()) * 10 + 621355968000000000"),
+        "ulid_of()": ("STRING", "concat(" + ", ".join([f"substr('{_CROCKFORD}', CAST((shiftrightunsigned(unix_millis(current_timestamp()), {5 * i}) & 31) AS INT) + 1, 1)" for i in range(9, -1, -1)] + [f"substr('{_CROCKFORD}', CAST((xxhash64(uuid()) & 31) AS INT) + 1, 1)"] * 16) + ")"),
         **VECTOR_SQL,
     }
     for head, (kind, body) in made.items():

@@ -60,11 +60,16 @@ _DOT = "aggregate(zip_with(a, b, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)
 _NORM = "sqrt(aggregate({0}, 0.0D, (s, x) -> s + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))"
 _NORMS = f"({_NORM.format('a')} * {_NORM.format('b')})"
 
+def _checked(value: str) -> str:
+    return f"CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN size(a) <> size(b) THEN CAST(raise_error('vectors differ in dimension') AS DOUBLE) ELSE {value} END"
+
+
 #: The same functions for SQL text.
 SQL = {
-    "vec_distance_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>)": ("DOUBLE", f"coalesce(1 - try_divide({_DOT}, {_NORMS}), 1.0D)"),
-    "vec_distance_l2(a ARRAY<FLOAT>, b ARRAY<FLOAT>)": ("DOUBLE", "sqrt(aggregate(zip_with(a, b, (x, y) -> pow(CAST(x AS DOUBLE) - CAST(y AS DOUBLE), 2)), 0.0D, (s, x) -> s + x))"),
-    "vec_distance_dot(a ARRAY<FLOAT>, b ARRAY<FLOAT>)": ("DOUBLE", f"-({_DOT})"),
+    "vec_distance_cosine(a ARRAY<FLOAT>, b ARRAY<FLOAT>)": ("DOUBLE", _checked(f"coalesce(1 - try_divide({_DOT}, {_NORMS}), 1.0D)")),
+    "vec_distance_l2(a ARRAY<FLOAT>, b ARRAY<FLOAT>)": ("DOUBLE", _checked("sqrt(aggregate(zip_with(a, b, (x, y) -> pow(CAST(x AS DOUBLE) - CAST(y AS DOUBLE), 2)), 0.0D, (s, x) -> s + x))")),
+    "vec_distance_dot(a ARRAY<FLOAT>, b ARRAY<FLOAT>)": ("DOUBLE", _checked(f"-({_DOT})")),
+    "vec_normalize(a ARRAY<FLOAT>)": ("ARRAY<DOUBLE>", f"CASE WHEN {_NORM.format('a')} = 0 THEN transform(a, x -> CAST(x AS DOUBLE)) ELSE transform(a, x -> CAST(x AS DOUBLE) / {_NORM.format('a')}) END"),
     "vec_dimensions(a ARRAY<FLOAT>)": ("INT", "size(a)"),
     "vec_to_json(a ARRAY<FLOAT>)": ("STRING", "to_json(a)"),
     "vec_from_float32(x STRING)": ("ARRAY<FLOAT>", "from_json(x, 'array<float>')"),

@@ -65,22 +65,54 @@ def dijkstra_reach(edges: DataFrame, start, most: float) -> DataFrame:
     return known
 
 
-def shortest_path(edges: DataFrame, start, goal, most_steps: int = 64) -> DataFrame:
-    """cost, path (array of nodes) of the cheapest path from start to goal; no row without one. Ties: the smaller path."""
+HEURISTICS = ("uniform", "depth", "weighted_cost", "manhattan", "euclidean")
+
+
+def heuristic(edges: DataFrame, goal, kind: str = "uniform", positions: DataFrame | None = None, scale: float = 1.0) -> DataFrame:
+    """node, ahead: a lower bound of the cost from each node to the goal, from positions (node, x, y) where the kind needs them.
+
+    uniform: 0; depth: one step, for edges of cost 1 or more; weighted_cost: the cheapest edge; manhattan and euclidean:
+    the distance, times scale. A bound must not exceed the true cost.
+    """
+    here = F.col("node") == F.lit(goal)
+    if kind in ("manhattan", "euclidean"):
+        end = positions.where(here).select(F.col("x").alias("gx"), F.col("y").alias("gy")).limit(1)
+        dx, dy = F.abs(F.col("x") - F.col("gx")), F.abs(F.col("y") - F.col("gy"))
+        ahead = dx + dy if kind == "manhattan" else F.sqrt(dx * dx + dy * dy)
+        return positions.crossJoin(F.broadcast(end)).select("node", (ahead * scale).cast("double").alias("ahead"))  # one row
+    if kind not in HEURISTICS:
+        raise ValueError(kind)
+    least = edges.agg(F.min("weight").alias("least")) if kind == "weighted_cost" else edges.sparkSession.range(1).select(F.lit(1.0 if kind == "depth" else 0.0).alias("least"))
+    return nodes(edges).crossJoin(F.broadcast(least)).select("node", F.when(here, 0.0).otherwise(F.col("least") * scale).alias("ahead"))  # one row
+
+
+def shortest_path(edges: DataFrame, start, goal, ahead: DataFrame | None = None) -> DataFrame:
+    """cost, path (array of nodes), expanded: the cheapest path from start to goal; no row without one. Ties: the smaller path.
+
+    Rounds go on until no cheaper way is left. `ahead` (see heuristic) drops what cannot beat the best path so far;
+    expanded counts the nodes whose edges were followed, once for each time.
+    """
     cheapest = edges.groupBy("src", "dst").agg(F.min("weight").alias("weight"))
-    kind = dict(edges.dtypes)["src"]
-    begin = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(start).cast(kind)).alias("path")).alias("best"))
-    known = frontier = begin
-    for _ in range(most_steps if start != goal else 0):
+    spark, kind = edges.sparkSession, dict(edges.dtypes)["src"]
+    known = frontier = spark.range(1).select(F.lit(start).cast(kind).alias("node"), F.struct(F.lit(0.0).alias("cost"), F.array(F.lit(start).cast(kind)).alias("path")).alias("best"))
+    expanded, at_goal = 0, F.col("node") == F.lit(goal).cast(kind)
+    while start != goal:
+        if ahead is not None:
+            bound = known.where(at_goal).select("best.cost").first()
+            if bound:
+                frontier = frontier.join(ahead, "node", "left").where(F.col("best.cost") + F.coalesce("ahead", F.lit(0.0)) <= bound.cost).select("node", "best")
+        frontier = frontier.where(~at_goal)
+        count = frontier.count()
+        if not count:
+            break
+        expanded += count
         step = cheapest.join(frontier, F.col("src") == F.col("node")).where(~F.array_contains("best.path", F.col("dst")))
         made = F.struct((F.col("best.cost") + F.col("weight")).alias("cost"), F.array_append("best.path", F.col("dst")).alias("path"))
         step = step.select(F.col("dst").alias("node"), made.alias("new")).groupBy("node").agg(F.min("new").alias("new"))
         merged = known.join(step, "node", "full").select("node", F.least("best", "new").alias("best"), F.coalesce(F.col("new") < F.col("best"), F.col("new").isNotNull()).alias("better"))
         merged = materialize(merged, "path")
         known, frontier = merged.select("node", "best"), merged.where("better").select("node", "best")
-        if frontier.isEmpty():
-            break
-    return known.where(F.col("node") == F.lit(goal).cast(kind)).select("best.cost", "best.path")
+    return known.where(at_goal).select("best.cost", "best.path", F.lit(expanded).alias("expanded"))
 
 
 def degree(edges: DataFrame) -> DataFrame:

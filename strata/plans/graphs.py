@@ -53,14 +53,28 @@ def _(t):
     return g.traverse(trade(t), 1, 2, "bfs")
 
 
-@R.code("dijkstra_reach")
+_COSTS = """c AS (SELECT src, dst, 1000.0 / n AS weight FROM e),
+    d(node, cost) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), CAST(0 AS DOUBLE) UNION
+      SELECT c.dst, CAST(min(d.cost + c.weight) AS DOUBLE) FROM d JOIN c ON c.src = d.node LEFT JOIN recurring.d AS r ON r.node = c.dst
+      WHERE r.cost IS NULL OR d.cost + c.weight < r.cost GROUP BY c.dst)"""
+
+
+def costly(t):
+    return trade(t).withColumn("weight", 1000.0 / F.col("weight"))
+
+
+@R.code("dijkstra_reach", "WITH RECURSIVE " + _TRADE + ", " + _COSTS + " SELECT node, round(cost, 6) AS cost FROM d WHERE cost <= 100")
 def _(t):
-    return g.dijkstra_reach(trade(t).withColumn("weight", 1000.0 / F.col("weight")), 1, 100.0)
+    return g.dijkstra_reach(costly(t), 1, 100.0).withColumn("cost", F.round("cost", 6))
 
 
-@R.code("shortest_path")
+@R.code("shortest_path", "WITH RECURSIVE " + _TRADE + ", " + _COSTS + " SELECT node AS goal, round(cost, 6) AS cost, CAST(1 AS BIGINT) AS first FROM d ORDER BY d.cost DESC, node LIMIT 1")
 def _(t):
-    return g.shortest_path(trade(t).withColumn("weight", 1000.0 / F.col("weight")), 1, 20)
+    """To the node that is farthest from nation 1 (that nation itself if it has no edge)."""
+    edges = g.materialize(costly(t), "costly")
+    far = g.dijkstra_reach(edges, 1, float("inf")).orderBy(F.desc("cost"), "node").first()
+    found = g.shortest_path(edges, 1, far.node, g.heuristic(edges, far.node, "weighted_cost"))
+    return found.select(F.element_at("path", -1).alias("goal"), F.round("cost", 6).alias("cost"), F.element_at("path", 1).alias("first"))
 
 
 @R.code("degree", "WITH b AS (" + _BIPARTITE + "), e AS (SELECT s AS src FROM b UNION ALL SELECT p FROM b) SELECT src AS node, count(*) AS degree, round(count(*) / ((SELECT count(DISTINCT src) FROM e) - 1), 9) AS centrality FROM e GROUP BY src")
@@ -102,7 +116,7 @@ def _(t):
     return g.components(trade(t))
 
 
-@R.code("components_bipartite")
+@R.code("components_bipartite", "WITH RECURSIVE b AS (" + _BIPARTITE + "), e AS (SELECT s AS src, p AS dst FROM b UNION ALL SELECT p, s FROM b), l(node, label) USING KEY (node) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, min(l.label) FROM l JOIN e ON e.src = l.node JOIN recurring.l AS r ON r.node = e.dst WHERE l.label < r.label GROUP BY e.dst) SELECT node, label AS component FROM l")
 def _(t):
     return g.components(bipartite(t))
 
@@ -119,7 +133,7 @@ def _(t):
 
 @R.code("label_prop")
 def _(t):
-    return g.label_propagation(trade(t), 20)
+    return g.label_propagation(trade(t))
 
 
 @R.code("louvain")

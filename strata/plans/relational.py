@@ -114,7 +114,7 @@ R.sql("setop_order_limit", "SELECT n_name AS x FROM nation UNION SELECT r_name F
 
 # -- CTEs and views
 R.sql("cte_simple", "WITH big(k, p) AS (SELECT o_custkey, o_totalprice FROM orders WHERE o_totalprice > 200000) SELECT k, count(*) AS n FROM big GROUP BY k")
-R.sql("cte_recursive_count", "WITH RECURSIVE cnt(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM cnt WHERE n < 500) SELECT n FROM cnt")
+R.sql("cte_recursive_count", "WITH RECURSIVE cnt(n) MAX RECURSION LEVEL 10000 AS (SELECT 1 UNION ALL SELECT n + 1 FROM cnt WHERE n < 500) SELECT n FROM cnt", "WITH RECURSIVE cnt(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM cnt WHERE n < 500) SELECT n FROM cnt")
 
 
 @R.code("view_query", "SELECT n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
