@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,19 @@ class Functions:
 
     def can_handle(self, name: str) -> bool:
         return name in self.names
+
+
+class TypeProvider:
+    """A type of the caller's: values are seen as `kind` and kept as `stored`; pack and unpack work on one value.
+
+    They run in Arrow batches. NULL stays NULL.
+    """
+
+    def __init__(self, name: str, stored: str, kind: str, pack: Callable, unpack: Callable):
+        self.name, self.stored, self.kind, self.pack, self.unpack = name, stored, kind, pack, unpack
+
+    def store(self, value: Column) -> Column:
+        return F.udf(lambda x: None if x is None else self.pack(x), self.stored, useArrow=True)(value)
+
+    def load(self, value: Column) -> Column:
+        return F.udf(lambda x: None if x is None else self.unpack(x), self.kind, useArrow=True)(value)

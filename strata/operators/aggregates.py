@@ -76,16 +76,18 @@ def rollup(df: DataFrame, dims: list[str], *aggs: Column) -> DataFrame:
 def percentiles_by_rank(df: DataFrame, groups: list[str], column: str, ps: dict[str, float]) -> DataFrame:
     """groups and one column per entry of ps (name -> p): exact interpolated percentiles for groups of any size.
 
-    percentile() holds a group's distinct values in one task. Here rows are range-partitioned by
-    (group, value), so a hot group spreads over tasks; each task ranks its own rows, the counts before a
-    task (tasks x groups small rows) shift them, and only the rows at the wanted places meet.
+    percentile() holds a group's distinct values in one task. Here rows are first counted per (group, value),
+    so a frequent value is one row; those rows are range-partitioned by
+    (group, value), so a hot group spreads over tasks; each task sums up its own counts, the counts before a
+    task (tasks x groups small rows) shift them, and only the values at the wanted places meet.
     """
     from ..scratch import materialize
 
     rows = df.select(*groups, F.col(column).cast("double").alias("__v")).where("__v IS NOT NULL")
+    counted = rows.groupBy(*groups, "__v").agg(F.count(F.lit(1)).alias("__k"))
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(rows.repartitionByRange(parts, *groups, "__v").withColumn("__p", F.spark_partition_id()), "percentile")
-    counts = ranged.groupBy("__p", *groups).agg(F.count(F.lit(1)).alias("__c"))
+    ranged = materialize(counted.repartitionByRange(parts, *groups, "__v").withColumn("__p", F.spark_partition_id()), "percentile")
+    counts = ranged.groupBy("__p", *groups).agg(F.sum("__k").alias("__c"))
     group = Window.partitionBy(*groups)
     before = F.coalesce(F.sum("__c").over(group.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = counts.select("__p", *groups, before.alias("__b"), F.sum("__c").over(group).alias("__n"))
@@ -93,16 +95,27 @@ def percentiles_by_rank(df: DataFrame, groups: list[str], column: str, ps: dict[
     named = shifts.select(F.col("__p").alias("__sp"), *[F.col(g).alias(f"__s{i}") for i, g in enumerate(groups)], "__b", "__n")
     for i, g in enumerate(groups):
         same = same & F.col(g).eqNullSafe(F.col(f"__s{i}"))
-    ranked = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__p", *groups).orderBy("__v")) - 1)
-    placed = ranked.join(named, (F.col("__p") == F.col("__sp")) & same).withColumn("__at", F.col("__r") + F.col("__b"))
+    upto = F.sum("__k").over(Window.partitionBy("__p", *groups).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = ranged.withColumn("__u", upto).join(named, (F.col("__p") == F.col("__sp")) & same)
+    placed = placed.withColumn("__last", F.col("__b") + F.col("__u") - 1).withColumn("__first", F.col("__last") - F.col("__k") + 1)
     places = {name: min(1.0, max(0.0, p)) * (F.col("__n") - 1) for name, p in ps.items()}
-    wanted = F.lit(False)
-    for at in places.values():
-        wanted = wanted | (F.col("__at") == F.floor(at)) | (F.col("__at") == F.ceil(at))
-    aggs = []
+    holds = lambda at: (F.col("__first") <= at) & (at <= F.col("__last"))
+    wanted, aggs = F.lit(False), []
     for name, at in places.items():
-        low = F.max(F.when(F.col("__at") == F.floor(at), F.col("__v")))
-        high = F.max(F.when(F.col("__at") == F.ceil(at), F.col("__v")))
-        part = F.max(at - F.floor(at))
-        aggs.append((low + (high - low) * part).alias(name))
+        wanted = wanted | holds(F.floor(at)) | holds(F.ceil(at))
+        low = F.max(F.when(holds(F.floor(at)), F.col("__v")))
+        high = F.max(F.when(holds(F.ceil(at)), F.col("__v")))
+        aggs.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
     return placed.where(wanted).groupBy(*groups).agg(*aggs)
+
+
+def modes(df: DataFrame, groups: list[str], column: str, name: str) -> DataFrame:
+    """groups and the most frequent value, the smallest on ties: counts per value first, so no group's values meet in one task."""
+    counted = df.where(F.col(column).isNotNull()).groupBy(*groups, column).agg(F.count(F.lit(1)).alias("__k"))
+    best = F.min(F.struct((-F.col("__k")).alias("k"), F.col(column).alias("v")))
+    return counted.groupBy(*groups).agg(best.alias("__b")).select(*groups, F.col("__b.v").alias(name))
+
+
+def query_cube(spark, sql: str, rows: str, columns: str, measure: Column, values: list | None = None) -> DataFrame:
+    """A pivot of a query's result."""
+    return pivot(spark.sql(sql), rows, columns, measure, values)

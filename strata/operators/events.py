@@ -47,6 +47,12 @@ def read_all(log: DataFrame, after: int, limit: int) -> DataFrame:
     return log.where(F.col("global_sequence") > after).orderBy("global_sequence").limit(limit)
 
 
+def read_page(log: DataFrame, after: int, limit: int) -> DataFrame:
+    """read_all with `total`, the number of events in the whole log."""
+    total = log.agg(F.count(F.lit(1)).alias("total"))
+    return read_all(log, after, limit).crossJoin(F.broadcast(total))  # one row
+
+
 def stream_length(log: DataFrame) -> DataFrame:
     return log.groupBy("stream_id").agg(F.max("stream_sequence").alias("length"))
 

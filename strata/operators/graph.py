@@ -122,10 +122,11 @@ def degree(edges: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(n)).select("node", "degree", F.try_divide(F.col("degree"), F.col("n") - 1).alias("centrality"))  # one row
 
 
-def all_distances(edges: DataFrame) -> DataFrame:
-    """source, node, d: all pairs by breadth-first rounds from every node (the result itself has a row per pair)."""
+def all_distances(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """source, node, d: breadth-first rounds from every source (default: every node); the result has a row per pair."""
     edges = edges.select("src", "dst").distinct()
-    seen = frontier = nodes(edges).select(F.col("node").alias("source"), "node", F.lit(0).alias("d"))
+    sources = nodes(edges) if sources is None else sources
+    seen = frontier = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("d"))
     d = 0
     while True:
         d += 1
@@ -136,10 +137,22 @@ def all_distances(edges: DataFrame) -> DataFrame:
         seen = seen.union(frontier)
 
 
-def closeness(edges: DataFrame) -> DataFrame:
-    """node, closeness: (reached - 1) / sum of distances; 0 for a node that reaches nothing."""
-    per = all_distances(edges).groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("s"))
-    return per.select("node", F.coalesce(F.try_divide(F.col("r") - 1, F.col("s")), F.lit(0.0)).alias("closeness"))
+def closeness(edges: DataFrame, most_pairs: int = 200_000_000) -> DataFrame:
+    """node, closeness: (reached - 1) / sum of distances; 0 for a node that reaches nothing.
+
+    Sources go in blocks whose pairs with all nodes are at most `most_pairs` rows, so that is what is kept at a time; the time
+    stays that of all pairs.
+    """
+    every = materialize(nodes(edges), "closeness-nodes")
+    n = every.count()
+    blocks, out = max(1, -(-n * n // most_pairs)), None
+    for b in range(blocks):
+        some = every.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == b)
+        per = all_distances(edges, some).groupBy(F.col("source").alias("node")).agg(F.count(F.lit(1)).alias("r"), F.sum("d").alias("s"))
+        per = per.select("node", F.coalesce(F.try_divide(F.col("r") - 1, F.col("s")), F.lit(0.0)).alias("closeness"))
+        per = materialize(per, "closeness") if blocks > 1 else per
+        out = per if out is None else out.union(per)
+    return out
 
 
 def eigenvector(edges: DataFrame, rounds: int = 100, tolerance: float = 1e-6) -> DataFrame:

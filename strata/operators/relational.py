@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 #: Collation names and Spark's collations for them.
 COLLATIONS = {"BINARY": "UTF8_BINARY", "NOCASE": "UTF8_LCASE", "RTRIM": "UTF8_BINARY_RTRIM", "UNICODE_CI": "UNICODE_CI"}
 
@@ -80,9 +82,8 @@ class MaterializedView:
         self.refresh()
 
     def refresh(self) -> None:
-        old, self._df, self._at = self._df, self.build().cache(), time.monotonic()
-        if old is not None:
-            old.unpersist()
+        """The result is written to the shared folder: it outlives executors and later changes of its base tables."""
+        self._df, self._at = materialize(self.build(), "view"), time.monotonic()
 
     def changed(self) -> None:
         """To be called after a base table changed."""

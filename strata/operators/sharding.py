@@ -57,6 +57,27 @@ def merge_values(df: DataFrame, keys: list[str], merge: Column, name: str) -> Da
     return df.groupBy(*keys).agg(merge.alias(name))
 
 
+def open_conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """For a decision by hand: keys with more than one value, and their values in order."""
+    values = df.groupBy(*keys).agg(F.array_sort(F.collect_set(value)).alias("values"))
+    return values.where(F.size("values") > 1)
+
+
+def resolve(df: DataFrame, keys: list[str], value: str, ts: str, tie: str, strategy: str = "lww", merge: Column | None = None, choose=None) -> DataFrame:
+    """Conflicting writes of a key by strategy: lww, fww, merge (an aggregate), custom (choose(versions) -> value, over the
+    array of (ts, tie, value) in order), manual (open_conflicts)."""
+    if strategy in ("lww", "fww"):
+        return (lww if strategy == "lww" else fww)(df, keys, value, ts, tie)
+    if strategy == "merge":
+        return merge_values(df, keys, merge, value)
+    if strategy == "custom":
+        versions = F.array_sort(F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(tie).alias("tie"), F.col(value).alias("value"))))
+        return df.groupBy(*keys).agg(versions.alias("__versions")).select(*keys, choose(F.col("__versions")).alias(value))
+    if strategy == "manual":
+        return open_conflicts(df, keys, value)
+    raise ValueError(strategy)
+
+
 def clock_merge(a: Column, b: Column) -> Column:
     """The larger count of each node."""
     return F.map_zip_with(a, b, lambda _, x, y: F.greatest(F.coalesce(x, F.lit(0)), F.coalesce(y, F.lit(0))))

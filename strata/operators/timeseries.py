@@ -88,7 +88,7 @@ def percentile_100(value: str, p: float) -> Column:
 
 @dataclass(frozen=True)
 class Retention:
-    """Tiers by age in days, and downsampling rules (age in days -> seconds per step)."""
+    """Tiers by age in days, and downsampling rules (age in days -> seconds per step). Ages and limits may be parts of a day."""
 
     hot_days: int
     warm_days: int
@@ -109,8 +109,14 @@ class Retention:
         return out
 
 
+def age_in_days(ts: Column, now: Column) -> Column:
+    """Days and parts of a day between ts and now."""
+    return (_seconds(now) - _seconds(ts)) / 86400.0
+
+
 #: Presets: what is asked of short-lived, ordinary and long-kept series.
 PRESETS = {
+    "live": Retention(1 / 24, 1, 7, ((1 / 24, 60), (1, 300))),
     "short": Retention(1, 7, 30, ((1, 60), (7, 3600))),
     "standard": Retention(7, 30, 365, ((7, 300), (30, 3600))),
     "long": Retention(30, 365, 3650, ((30, 3600), (365, 86400))),

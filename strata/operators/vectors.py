@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as vec
+from ..scratch import materialize
 
 #: Queries in one block: bounds the broadcast (block x dimension doubles).
 BLOCK = 4096
@@ -39,45 +40,56 @@ def distances(rows: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
     raise ValueError(metric)
 
 
+#: Rows multiplied with a block of queries at once: bounds a task's memory.
+CHUNK = 512
+_NO_ID = -(2**63)
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "l2", id_col: str = "vec_id", col: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """query_id, id, distance, rank: the exact k nearest rows of every query (ties by id)."""
-    spark, rows = vectors.sparkSession, vectors.select(F.col(id_col).alias("id"), F.col(col).alias("v"))
-    asked = queries.select(F.col(id_col).alias("id"), F.col(col).alias("v"))
-    parts, last = [], None
-    while True:  # blocks of queries in order of their ids
-        block = (asked if last is None else asked.where(F.col("id") > last)).orderBy("id").limit(BLOCK).toPandas()
-        if block.empty:
-            break
-        last = int(block["id"].iloc[-1])
-        shared = spark.sparkContext.broadcast((block["id"].to_numpy(np.int64), _matrix(block["v"])))
-        parts.append(rows.mapInPandas(_nearest(shared, k, metric, exclude_self), "query_id long, id long, distance double"))
-        if len(block) < BLOCK:
-            break
+    """query_id, id, distance, rank: the exact k nearest rows of every query (ties by id).
+
+    Every query row counts, also those that share an id or have none; with exclude_self rows of the query's own id are left out.
+    """
+    spark = vectors.sparkSession
+    ids = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id")
+    rows = vectors.select(ids, F.col(col).alias("v"))
+    asked = materialize(queries.select(F.monotonically_increasing_id().alias("q"), ids, F.col(col).alias("v")), "queries")
+    blocks, parts = -(-asked.count() // BLOCK), []
+    for b in range(blocks):  # equal shares by hash: no sort, and no query lies between two blocks
+        block = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()
+        if len(block):
+            shared = spark.sparkContext.broadcast((block["q"].to_numpy(np.int64), block["id"].to_numpy(np.int64), _matrix(block["v"])))
+            parts.append(rows.mapInPandas(_nearest(shared, k, metric, exclude_self), "q long, query_id long, id long, distance double"))
     if not parts:
         return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
     found = parts[0]
     for p in parts[1:]:
         found = found.union(p)
-    order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    order = Window.partitionBy("q").orderBy("distance", "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    known = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias(c)
+    return best.select(known("query_id"), known("id"), "distance", "rank")
 
 
 def _nearest(shared, k: int, metric: str, exclude_self: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, queries = shared.value
+        numbers, ids, queries = shared.value
         best_d, best_i = np.full((0, len(ids)), 0.0), np.zeros((0, len(ids)), np.int64)
         for batch in batches:
-            if not len(batch):
-                continue
-            own = batch["id"].to_numpy(np.int64)
-            d = distances(_matrix(batch["v"]), queries, metric)
-            if exclude_self:
-                d[own[:, None] == ids[None, :]] = np.inf
-            d, i = np.vstack([best_d, d]), np.vstack([best_i, np.repeat(own[:, None], len(ids), 1)])
-            keep = np.lexsort((i, d), axis=0)[:k]
-            best_d, best_i = np.take_along_axis(d, keep, 0), np.take_along_axis(i, keep, 0)
+            every, vectors = batch["id"].to_numpy(np.int64), batch["v"]
+            for at in range(0, len(every), CHUNK):
+                own = every[at : at + CHUNK]
+                d = distances(_matrix(vectors.iloc[at : at + CHUNK]), queries, metric)
+                if exclude_self:
+                    d[(own[:, None] == ids[None, :]) & (own != _NO_ID)[:, None]] = np.inf
+                if len(best_d) == k:  # only rows that are near enough for some query go on
+                    close = (d <= best_d[-1][None, :]).any(1)
+                    own, d = own[close], d[close]
+                d, i = np.vstack([best_d, d]), np.vstack([best_i, np.repeat(own[:, None], len(ids), 1)])
+                keep = np.lexsort((i, d), axis=0)[:k]
+                best_d, best_i = np.take_along_axis(d, keep, 0), np.take_along_axis(i, keep, 0)
         if len(best_d):
-            out = pd.DataFrame({"query_id": np.tile(ids, len(best_d)), "id": best_i.ravel(), "distance": best_d.ravel()})
+            out = pd.DataFrame({"q": np.tile(numbers, len(best_d)), "query_id": np.tile(ids, len(best_d)), "id": best_i.ravel(), "distance": best_d.ravel()})
             yield out[np.isfinite(out["distance"])]
 
     return run
@@ -86,11 +98,13 @@ def _nearest(shared, k: int, metric: str, exclude_self: bool):
 class IvfIndex:
     """Approximate search: centroids are fitted on a bounded seeded sample, every row is indexed.
 
-    The cells of a query are its `probes` nearest centroids; within them the search is exact.
+    The cells of a query are its `probes` nearest centroids; within them the search is exact. Cells grow in number
+    with the square root of the rows (16 to 4,096) unless given.
     """
 
-    def __init__(self, vectors: DataFrame, cells: int = 64, sample: int = 20_000, rounds: int = 8, seed: int = 7, id_col: str = "vec_id", col: str = "embedding"):
+    def __init__(self, vectors: DataFrame, cells: int | None = None, sample: int = 20_000, rounds: int = 8, seed: int = 7, id_col: str = "vec_id", col: str = "embedding"):
         self.id_col, self.col = id_col, col
+        cells = cells or int(min(4096, max(16, vectors.count() ** 0.5)))
         picked = vectors.select(id_col, col).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample).toPandas()
         data = _matrix(picked[col])
         rng = np.random.default_rng(seed)
@@ -100,6 +114,21 @@ class IvfIndex:
             self.centres = np.stack([data[near == c].mean(0) if (near == c).any() else self.centres[c] for c in range(len(self.centres))])
         self.rows = self._cells(vectors, 1)
 
+    def save(self, path: str) -> None:
+        """Centroids and indexed rows, as Parquet below path; rows of one cell lie together."""
+        spark = self.rows.sparkSession
+        centres = [(i, c.tolist()) for i, c in enumerate(self.centres)]
+        spark.createDataFrame(centres, "cell int, v array<double>").coalesce(1).write.parquet(f"{path}/centres")
+        self.rows.repartitionByRange("cell", "id").sortWithinPartitions("cell").write.parquet(f"{path}/rows")
+
+    @classmethod
+    def load(cls, spark, path: str, id_col: str = "vec_id", col: str = "embedding") -> IvfIndex:
+        self = cls.__new__(cls)
+        self.id_col, self.col = id_col, col
+        self.centres = _matrix(spark.read.parquet(f"{path}/centres").orderBy("cell").toPandas()["v"])
+        self.rows = spark.read.parquet(f"{path}/rows")
+        return self
+
     def _cells(self, df: DataFrame, n: int) -> DataFrame:
         centres = df.sparkSession.sparkContext.broadcast(self.centres)
 

@@ -47,7 +47,8 @@ def _(t):
 
 @R.code("percentile_p95", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.1), 4) AS p10 FROM lineitem GROUP BY l_returnflag")
 def _(t):
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(agg.percentile("l_extendedprice", 0.95), 4).alias("p95"), F.round(agg.percentile("l_extendedprice", 0.1), 4).alias("p10"))
+    found = agg.percentiles_by_rank(t("lineitem"), ["l_returnflag"], "l_extendedprice", {"p95": 0.95, "p10": 0.1})
+    return found.select("l_returnflag", F.round("p95", 4).alias("p95"), F.round("p10", 4).alias("p10"))
 
 
 @R.code("percentile_by_rank", "SELECT l_returnflag, l_linestatus, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.5), 4) AS p50 FROM lineitem GROUP BY ALL")
@@ -58,7 +59,14 @@ def _(t):
 
 @R.code("mode", "SELECT l_returnflag, min(l_quantity) AS m FROM (SELECT *, rank() OVER (PARTITION BY l_returnflag ORDER BY n DESC) AS r FROM (SELECT l_returnflag, l_quantity, count(*) AS n FROM lineitem GROUP BY ALL)) WHERE r = 1 GROUP BY l_returnflag")
 def _(t):
-    return t("lineitem").groupBy("l_returnflag").agg(agg.mode("l_quantity").alias("m"))
+    return agg.modes(t("lineitem"), ["l_returnflag"], "l_quantity", "m")
+
+
+@R.code("olap_from_sql", "SELECT coalesce(c_mktsegment, 'NULL') AS c_mktsegment, count(*) FILTER (WHERE n_regionkey = 0) AS \"0\", count(*) FILTER (WHERE n_regionkey = 1) AS \"1\" FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def _(t):
+    t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).createOrReplaceTempView("olap_rows")
+    found = agg.query_cube(t("nation").sparkSession, "SELECT c_mktsegment, n_regionkey FROM olap_rows", "c_mktsegment", "n_regionkey", F.count(F.lit(1)), ["0", "1"])
+    return found.na.fill(0)
 
 
 @R.code("corr", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 8) AS c, CAST(NULL AS DOUBLE) AS flat FROM lineitem GROUP BY l_returnflag")

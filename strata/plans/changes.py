@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.udf import Functions
+from ..functions.udf import Functions, TypeProvider
 from ..operators import dml, events, sharding
+from ..scratch import materialize
 from ..sources import tables
 from ..streaming import streams
 from .base import Registry
@@ -268,6 +272,70 @@ def _(t):
     return sharding.fww(t("events"), ["user_id"], "event_type", "ts", "event_id")
 
 
+@R.code("conflict_merge", "SELECT user_id, max(event_type) AS event_type FROM events GROUP BY user_id")
+def _(t):
+    return sharding.resolve(t("events"), ["user_id"], "event_type", "ts", "event_id", "merge", merge=F.max("event_type"))
+
+
+@R.code("conflict_custom", "SELECT user_id, list_extract(list(event_type ORDER BY ts, event_id), CAST(least(2, count(*)) AS INT)) AS event_type FROM events GROUP BY user_id")
+def _(t):
+    """The second write wins, or the only one."""
+    return sharding.resolve(t("events"), ["user_id"], "event_type", "ts", "event_id", "custom", choose=lambda v: F.element_at(v, F.least(F.lit(2), F.size(v)))["value"])
+
+
+@R.code("conflict_manual", "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS choices FROM events GROUP BY user_id HAVING count(DISTINCT event_type) > 1")
+def _(t):
+    found = sharding.resolve(t("events"), ["user_id"], "event_type", "ts", "event_id", "manual")
+    return found.select("user_id", F.array_join("values", ",").alias("choices"))
+
+
+@R.code("archive_cycle", "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS wrong, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00') AS restored, count(*) FILTER (WHERE NOT (ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00')) AS left_over FROM events")
+def _(t):
+    """Archive, verify, restore two days elsewhere, purge them from the archive."""
+    from ..operators.timeseries import bucket_id
+    from ..scratch import scratch_path
+
+    e = t("events")
+    spark, bucket, path, back = e.sparkSession, bucket_id("events", "ts", "day"), scratch_path(e.sparkSession, "archive"), scratch_path(e.sparkSession, "restored")
+    tables.archive(e, path, bucket)
+    wrong = tables.verify_archive(e, bucket, path).count()
+    restored = tables.restore_archive(spark, path, "events_Day_20240110", "events_Day_20240111", back)
+    tables.purge_archive(spark, path, "events_Day_20240110", "events_Day_20240111")
+    left = spark.read.parquet(path).agg(F.count(F.lit(1)).alias("left_over"))
+    return e.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(wrong).cast("long").alias("wrong"), F.lit(restored).cast("long").alias("restored")).crossJoin(left)  # one row
+
+
+@R.code("hash_index_lookup", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey IN (7, 11)")
+def _(t):
+    """A bucketed table answers a lookup by its key from the buckets of the keys."""
+    import uuid
+
+    spark, name = t("orders").sparkSession, f"by_customer_{uuid.uuid4().hex}"
+    tables.bucketed(t("orders"), name, "o_custkey", 8)
+    found = materialize(spark.table(name).where(F.col("o_custkey").isin(7, 11)).select("o_orderkey", "o_totalprice"), "lookup")
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
+@R.code("index_hints", "SELECT o_orderkey FROM orders WHERE o_custkey = 7 UNION ALL SELECT o_orderkey FROM orders WHERE o_totalprice > 200000")
+def _(t):
+    """Lookups steered to a copy sorted by the customer, and away from one sorted by the price."""
+    from ..scratch import scratch_path
+
+    orders = t("orders")
+    hints = tables.Layouts(orders)
+    for name, key in (("by_customer", "o_custkey"), ("by_price", "o_totalprice")):
+        hints.add(name, key, scratch_path(orders.sparkSession, name))
+    first = hints.prefer("by_customer").scan("o_custkey").where("o_custkey = 7").select("o_orderkey")
+    return first.union(hints.avoid("by_price").scan("o_totalprice").where("o_totalprice > 200000").select("o_orderkey"))
+
+
+@R.code("read_page", "SELECT event_id, count(*) OVER () AS total FROM events ORDER BY event_id LIMIT 20")
+def _(t):
+    log = t("events").withColumn("global_sequence", F.col("event_id"))
+    return events.read_page(log, -1, 20).select("event_id", "total")
+
+
 @R.code("vector_clocks", "SELECT n_nationkey, greatest(n_nationkey, 3) AS a, n_regionkey + 1 AS b, n_nationkey > 3 AND n_regionkey = 0 AS later FROM nation")
 def _(t):
     mine = F.create_map(F.lit("a"), F.col("n_nationkey"), F.lit("b"), F.col("n_regionkey"))
@@ -295,6 +363,25 @@ def _(t):
     return t("lineitem").groupBy("l_returnflag").agg(F.round(fn("l_quantity"), 4).alias("spread"))
 
 
+@R.code("window_udf", "SELECT l_orderkey, l_linenumber, round(max(l_quantity) OVER w - min(l_quantity) OVER w, 4) AS spread FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
+def _(t):
+    def spread_over(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    fn = Functions(t("lineitem").sparkSession).aggregate("spread_over", spread_over, "double")
+    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(fn("l_quantity").over(Window.partitionBy("l_orderkey")), 4).alias("spread"))
+
+
+@R.code("custom_type", "SELECT n_nationkey, CAST(n_regionkey AS DOUBLE) AS re, CAST(n_nationkey AS DOUBLE) AS im FROM nation")
+def _(t):
+    """Complex numbers kept as 16 bytes, written and read back through the type's provider."""
+    nation = t("nation")
+    complex_number = TypeProvider("complex", "binary", "struct<re:double,im:double>", lambda c: struct.pack("<dd", c["re"], c["im"]), lambda b: dict(zip(("re", "im"), struct.unpack("<dd", b), strict=True)))
+    value = F.struct(F.col("n_regionkey").cast("double").alias("re"), F.col("n_nationkey").cast("double").alias("im"))
+    stored = materialize(nation.select("n_nationkey", complex_number.store(value).alias("c")), "typed")
+    return stored.withColumn("c", complex_number.load(F.col("c"))).select("n_nationkey", "c.re", "c.im")
+
+
 @R.code("udtf", "SELECT n_nationkey, CAST(unnest(range(n_regionkey + 1)) AS INT) AS k FROM nation")
 def _(t):
     class Count:

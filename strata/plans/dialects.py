@@ -61,3 +61,14 @@ _dialect("sql_order_collate", "SELECT word, nth FROM (SELECT word, ROW_NUMBER()
 _dialect("sql_recursive", "WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 700) SELECT n FROM c", "WITH RECURSIVE c(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM c WHERE n < 700) SELECT n FROM c", ())
 _dialect("sql_graph_traverse", "SELECT o_orderkey FROM orders WHERE o_orderkey IN (GRAPH_TRAVERSE(orders, 900, 'o_custkey', 4, 'BFS'))", "WITH RECURSIVE r AS (SELECT 900 AS node, 0 AS d UNION SELECT o_custkey, d + 1 FROM r JOIN orders ON o_orderkey = node WHERE d < 4) SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT node FROM r)", ("orders",))
 _dialect("sql_graph_rag", "SELECT node_id, score, context FROM embeddings GRAPH_RAG 'what is near' LIMIT 5 WITH SCORE > 0.01 WITH CONTEXT TOP_K 20", "SELECT vec_id AS node_id, round(list_cosine_similarity(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), list_transform(range(64), lambda x: 1.0::DOUBLE)), 6) AS score, 'node ' || vec_id AS context FROM embeddings WHERE score > 0.01 ORDER BY score DESC, vec_id LIMIT 5", ("embeddings",))
+
+
+@R.code("sql_vector_index", "SELECT vec_id, round(list_distance(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), (SELECT list_transform(embedding, lambda x: CAST(x AS DOUBLE)) FROM embeddings WHERE vec_id = 5)), 5) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 1")
+def _(t):
+    """The nearest vector through an index; the vector asked for is itself in the table."""
+    t("embeddings").createOrReplaceTempView("embeddings")
+    db = Database(t("embeddings").sparkSession)
+    db.query("CREATE VECTOR INDEX near ON embeddings (embedding) KEY (vec_id)")
+    asked = "ARRAY(" + ", ".join(f"{x!r}" for x in t("embeddings").where("vec_id = 5").first().embedding) + ")"
+    found = db.query(f"SELECT vec_id FROM embeddings ORDER BY VEC_DISTANCE_L2(embedding, {asked}) LIMIT 1")
+    return found.withColumn("distance", F.round("distance", 5))

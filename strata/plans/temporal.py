@@ -102,6 +102,16 @@ def _(t):
     return t("events").groupBy(ts.PRESETS["standard"].tier(age).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
 
 
+_HOURS = "date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-01-31 12:00:00') / 3600"
+
+
+@R.code("retention_hours", f"SELECT CASE WHEN {_HOURS} < 1 THEN 'hot' WHEN {_HOURS} < 24 THEN 'warm' ELSE 'cold' END AS tier, count(*) AS n FROM events WHERE {_HOURS} < 168 GROUP BY 1")
+def _(t):
+    """Tiers of hours; what is older than the policy keeps is purged."""
+    policy, age = ts.PRESETS["live"], ts.age_in_days(F.date_trunc("second", "ts"), F.lit("2024-01-31 12:00:00").cast("timestamp"))
+    return policy.purge(t("events"), age).groupBy(policy.tier(age).alias("tier")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @R.code("policy_downsampling", f"""
     SELECT ts, value, CAST(1 AS BIGINT) AS n FROM events WHERE {_AGE} < 7
     UNION ALL SELECT CAST(make_timestamp(CAST(floor(epoch_us(ts) / 300000000) * 300000000 AS BIGINT)) AS TIMESTAMP), round(avg(value), 6), count(*) FROM events WHERE {_AGE} >= 7 AND {_AGE} < 30 GROUP BY 1
