@@ -13,7 +13,7 @@ of 8-bit blocks over all classes (a few thousand numbers), convolved under
 independence of the blocks; they steer cost only and never the result. m itself is chosen from
 the same estimates, so the signatures get longer as the table grows.
 Fingerprints are indexed by every partition's value, probed by all signatures
-within their thresholds, and every candidate is verified by its bit count.
+within their thresholds, and every candidate is verified by its bit count (``search``).
 
 *Crowded signatures.* A signature that more than ``crowd`` classes share would
 emit all pairs of a dense group. It is taken out of the index, and every class
@@ -78,24 +78,18 @@ def fingerprint(hashes: np.ndarray, chunk: int = 1 << 15) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", width: int = 3, distinct: bool = False) -> DataFrame:
-    """keys, fp (signed 64 bits), th (hash of the lower-cased words): one row per input row."""
+def with_fingerprints(docs: DataFrame, keys: list[str], text_col: str = "text", width: int = 3) -> DataFrame:
+    """keys and fp (signed 64 bits): one row per input row."""
     rows = docs.select(*keys, F.col(f"`{text_col}`").cast("string").cast("binary").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, len(keys)):
-                fps, ths = [], []
-                for text in part.column(len(keys)).to_pylist():
-                    hashes = shingle_hashes(text, width)
-                    fps.append(fingerprint(np.unique(hashes) if distinct else hashes))
-                    ths.append(xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), 7))
-                cols = [part.column(i) for i in range(len(keys))]
-                cols += [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, ths)]
-                yield pa.RecordBatch.from_arrays(cols, [*keys, "fp", "th"])
+                fps = np.array([fingerprint(shingle_hashes(t, width)) for t in part.column(len(keys)).to_pylist()], np.uint64)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keys)], pa.array(fps.view(np.int64))], [*keys, "fp"])
 
     kinds = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
-    return rows.mapInArrow(run, f"{kinds}, fp long, th long")
+    return rows.mapInArrow(run, f"{kinds}, fp long")
 
 
 class Layout:
@@ -199,98 +193,129 @@ def group_bits(together: np.ndarray, rows: int, parts: int) -> list[list[int]]:
     return groups
 
 
-def _fps(batch: pa.RecordBatch) -> np.ndarray:
-    return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+def _longs(batch: pa.RecordBatch, column: int) -> np.ndarray:
+    return batch.column(column).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _pairs_batch(keys: np.ndarray, fps: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (keys, fps)], ["key", "fp"])
+def _flags(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
 
 
-def plan_layout(classes: DataFrame, max_bits: int, rows: int) -> Layout:
-    """Statistics over all classes, then the layout with the least estimated cost."""
+def _rows_batch(keys: np.ndarray, ids: np.ndarray, fps: np.ndarray, dense: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*[pa.array(x.view(np.int64)) for x in (keys, ids, fps)], pa.array(dense)], ["key", "id", "fp", "dense"])
+
+
+def plan_layouts(rows: DataFrame, columns: list[str], max_bits: int, count: int, per_candidate: float = 0.5) -> list[Layout]:
+    """Per column of fingerprints: statistics over all rows, then the layout with the least estimated cost."""
 
     def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((BITS, BITS), np.int64)
+        total = np.zeros((len(columns), BITS, BITS), np.int64)
         for batch in batches:
-            bits = np.unpackbits(_fps(batch).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
-            total += (bits.T @ bits).astype(np.int64)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (i, j, total[i, j])], ["i", "j", "n"])
-
-    seen = np.zeros((BITS, BITS))
-    for r in classes.select("fp").mapInArrow(together, "i long, j long, n long").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
-        seen[r.i, r.j] = r.n
-    layouts = [Layout(group_bits(seen, rows, m)) for m in range(2, max_bits + 3) if m <= 4]
+            for c in range(len(columns)):
+                bits = np.unpackbits(_longs(batch, c).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float32)
+                total[c] += (bits.T @ bits).astype(np.int64)
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*at, total[at])], ["c", "i", "j", "n"])
+
+    seen = np.zeros((len(columns), BITS, BITS))
+    for r in rows.select(*columns).mapInArrow(together, "c long, i long, j long, n long").groupBy("c", "i", "j").agg(F.sum("n").alias("n")).collect():
+        seen[r.c, r.i, r.j] = r.n
+    parts = [m for m in range(2, max_bits + 3) if m <= 4]
+    layouts = [(c, Layout(group_bits(seen[c], count, m))) for c in range(len(columns)) for m in parts]
 
     def histograms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [[np.zeros(1 << len(bits), np.int64) for _, bits in x.blocks] for x in layouts]
+        counts = [[np.zeros(1 << len(bits), np.int64) for _, bits in x.blocks] for _, x in layouts]
         for batch in batches:
-            fps = _fps(batch)
-            for x, own in zip(layouts, counts, strict=True):
-                for (_, bits), c in zip(x.blocks, own, strict=True):
-                    c += np.bincount(x.values(fps, bits).astype(np.int64), minlength=len(c))
-        out = [(m, b, int(v), int(c[v])) for m, own in enumerate(counts) for b, c in enumerate(own) for v in np.nonzero(c)[0]]
+            for (c, x), own in zip(layouts, counts, strict=True):
+                fps = _longs(batch, c)
+                for (_, bits), n in zip(x.blocks, own, strict=True):
+                    n += np.bincount(x.values(fps, bits).astype(np.int64), minlength=len(n))
+        out = [(m, b, int(v), int(n[v])) for m, own in enumerate(counts) for b, n in enumerate(own) for v in np.nonzero(n)[0]]
         cols = [pa.array(list(x), pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
         yield pa.RecordBatch.from_arrays(cols, ["m", "b", "v", "n"])
 
-    found = classes.select("fp").mapInArrow(histograms, "m long, b long, v long, n long").groupBy("m", "b", "v").agg(F.sum("n").alias("n")).collect()
-    for m, layout in enumerate(layouts):
-        layout.learn({(r.b, r.v): r.n for r in found if r.m == m}, rows, max_bits)
-    return min(layouts, key=lambda x: float(x.thresholds(None, max_bits)[1][0]) + len(x.groups))
+    found = rows.select(*columns).mapInArrow(histograms, "m long, b long, v long, n long").groupBy("m", "b", "v").agg(F.sum("n").alias("n")).collect()
+    for m, (_, layout) in enumerate(layouts):
+        layout.learn({(r.b, r.v): r.n for r in found if r.m == m}, count, max_bits)
+    cost = lambda x: float(x.thresholds(None, max_bits, per_candidate)[1][0]) + len(x.groups)
+    return [min((x for own, x in layouts if own == c), key=cost) for c in range(len(columns))]
 
 
-def near_links(classes: DataFrame, max_bits: int, crowd: int = 64) -> DataFrame:
-    """Different fingerprints (column fp) -> edges (a, b) whose components are those of all pairs within max_bits bits."""
-    if max_bits % 2:
-        raise ValueError("max_bits must be even")
-    rows = classes.count()
-    layout = plan_layout(classes, max_bits, rows)
-    groups = layout.groups
-    masks = {(len(g), r): radius_masks(len(g), r) for g in groups for r in range(max_bits + 1) if radius_size(len(g), r) < 20_000}
+def search(rows: DataFrame, columns: list[str], max_bits: int, crowd: int = 64, per_candidate: float = 0.5) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs of rows with some fingerprint within max_bits bits.
+
+    rows has a long `id` and the columns of fingerprints. The first result holds pairs (a, b) of different ids, in one or both orders,
+    each checked by its bits. A signature that more than `crowd` rows share gives no pairs: all rows that hold or probe it are
+    in the second result (id; None if there are none). The first result lacks pairs of two of those, and no others.
+    """
+    layouts = plan_layouts(rows, columns, max_bits, rows.count(), per_candidate)
+    sizes = {len(g) for x in layouts for g in x.groups}
+    masks = {(n, r): radius_masks(n, r) for n in sizes for r in range(max_bits + 1) if radius_size(n, r) < 20_000}
+    kind = "key long, id long, fp long, dense boolean"
+
+    def part(c: int, i: int) -> np.uint64:
+        return np.uint64(c << 36 | i << 32)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = _fps(batch)
-            keys = [layout.values(fps, g) | np.uint64(i << 32) for i, g in enumerate(groups)]
-            yield _pairs_batch(np.concatenate(keys), np.tile(fps, len(groups)))
+            ids = _longs(batch, 0)
+            for c, layout in enumerate(layouts):
+                fps = _longs(batch, c + 1)
+                keys = [layout.values(fps, g) | part(c, i) for i, g in enumerate(layout.groups)]
+                yield _rows_batch(np.concatenate(keys), np.tile(ids, len(keys)), np.tile(fps, len(keys)), np.tile(_flags(batch), len(keys)))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = _fps(batch)
-            for at in range(0, len(every), 2048):
-                fps = every[at : at + 2048]
-                allowed, _ = layout.thresholds(fps, max_bits)
-                for i, g in enumerate(groups):
-                    values = layout.values(fps, g) | np.uint64(i << 32)
-                    for r in range(max_bits + 1):
-                        own = allowed[:, i] == r
-                        if own.any():
-                            flips = masks[len(g), r] if (len(g), r) in masks else radius_masks(len(g), r)
-                            yield _pairs_batch((values[own][:, None] ^ flips[None, :]).ravel(), np.repeat(fps[own], len(flips)))
+            for at in range(0, batch.num_rows, 2048):
+                some = batch.slice(at, 2048)
+                ids = _longs(some, 0)
+                for c, layout in enumerate(layouts):
+                    fps = _longs(some, c + 1)
+                    allowed, _ = layout.thresholds(fps, max_bits, per_candidate)
+                    for i, g in enumerate(layout.groups):
+                        values = layout.values(fps, g) | part(c, i)
+                        for r in range(max_bits + 1):
+                            own = allowed[:, i] == r
+                            if own.any():
+                                flips = masks[len(g), r] if (len(g), r) in masks else radius_masks(len(g), r)
+                                repeated = [np.repeat(x[own], len(flips)) for x in (ids, fps, _flags(some))]
+                                yield _rows_batch((values[own][:, None] ^ flips[None, :]).ravel(), *repeated)
+
+    rows = rows.select("id", *columns)
+    held, probes = (rows.withColumn("dense", F.lit(False)).mapInArrow(f, kind) for f in (index, probe))
+    crowded = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
+    inside = None
+    if not crowded.isEmpty():
+        inside = materialize(held.union(probes).join(crowded, "key", "left_semi").select("id").distinct(), "dense")
+        flagged = rows.join(inside.withColumn("dense", F.lit(True)), "id", "left").select(*rows.columns, F.coalesce("dense", F.lit(False)).alias("dense"))
+        held, probes = (flagged.mapInArrow(f, kind) for f in (index, probe))
+    # Spark sizes a mapInArrow by its input; a hint keeps what it multiplies from being broadcast.
+    left, right = (x.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "fp", "dense")]) for x, side in ((probes, "a"), (held, "b")))
+    near = (F.col("a_id") != F.col("b_id")) & ~(F.col("a_dense") & F.col("b_dense"))
+    near &= F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= max_bits
+    pairs = left.hint("merge").join(right, (left["key"] == right["key"]) & near).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    return pairs, inside
+
+
+def near_links(classes: DataFrame, max_bits: int, crowd: int = 64) -> DataFrame:
+    """Different fingerprints (column fp) -> edges (a, b) whose components are those of all pairs within max_bits bits."""
+    if max_bits % 2:
+        raise ValueError("max_bits must be even")
 
     def around(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(fp, label) -> (point, label) for every point within max_bits / 2 of fp."""
         flips = radius_masks(BITS, max_bits // 2)
         for batch in batches:
-            every, labels = _fps(batch), batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            every, labels = _longs(batch, 0), _longs(batch, 1)
             for at in range(0, len(every), 512):
                 fps = every[at : at + 512]
-                yield _pairs_batch((fps[:, None] ^ flips[None, :]).ravel(), np.repeat(labels[at : at + 512], len(flips)))
+                cols = [(fps[:, None] ^ flips[None, :]).ravel(), np.repeat(labels[at : at + 512], len(flips))]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in cols], ["key", "fp"])
 
     kind = "key long, fp long"
-    held = materialize(classes.select("fp").mapInArrow(index, kind), "index")
-    probes = classes.select("fp").mapInArrow(probe, kind)
-    crowded = materialize(held.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("key"), "crowded")
-    some = not crowded.isEmpty()
-    open_keys = held.join(crowded, "key", "left_anti") if some else held
-    left, right = probes.select("key", F.col("fp").alias("a")), open_keys.select("key", F.col("fp").alias("b"))
-    near = (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-    # Spark sizes a mapInArrow by its input; a hint keeps what it multiplies from being broadcast.
-    links = left.hint("merge").join(right, (left["key"] == right["key"]) & near).select("a", "b")
-    if some:
-        inside = held.union(probes).join(crowded, "key", "left_semi").select("fp").distinct()
-        inside = materialize(inside, "crowd")
+    links, inside = search(classes.select(F.col("fp").alias("id"), "fp"), ["fp"], max_bits, crowd)
+    if inside is not None:
+        inside = inside.withColumnRenamed("id", "fp")
         points = inside.select("fp", F.col("fp").alias("label")).mapInArrow(around, kind)
         first = points.groupBy("key").agg(F.min("fp").alias("b"), F.max("fp").alias("top")).where("b < top").select("key", "b")
         label = points.hint("merge").join(first, "key").groupBy("fp").agg(F.min("b").alias("label"))
@@ -307,10 +332,10 @@ def _classes(rows: DataFrame) -> DataFrame:
     return materialize(rows.groupBy("fp").agg(F.min("id").alias("rep")), "classes")
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2, distinct: bool = False) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 2) -> DataFrame:
     """doc_id, fingerprint, component_id: one row per input row. See the module's docstring."""
     keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    rows = materialize(with_fingerprints(keyed, ["id"], "t", width, distinct).select("id", "fp"), "fingerprints")
+    rows = materialize(with_fingerprints(keyed, ["id"], "t", width), "fingerprints")
     classes = _classes(rows)
     roots = materialize(components(near_links(classes, max_bits)), "roots")
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
@@ -321,77 +346,3 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )
-
-
-def drop_near_duplicates(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 1,
-    max_bits: int = 4,
-    verify_width: int = 5,
-    similarity: float = 0.8,
-) -> DataFrame:
-    """The documents that stay, one of each group of near copies, with the columns of docs.
-
-    Fingerprints of the set of single words find components; within one, no two texts stay whose Jaccard similarity of
-    `verify_width`-word shingles is at least `similarity`, and each that goes was verified against one that stays.
-    Copies of one text (same lower-cased words) go with their first row.
-
-    Texts of that similarity share one of their first n - ceil(similarity * n) + 1 shingles in hash order (tokens). In each
-    round the first k texts of every token are its leaders and are compared with all texts that hold it. A leader in all its
-    tokens has met every earlier candidate; if none of them is similar it stays, and the texts similar to it go. The first
-    text left always does, so the loop ends by itself. The first round (k = 1) goes by the smallest id, null ids last, and
-    thins dense groups; k grows fourfold a round, and later rounds take a new hashed order each, so chains of versions
-    need few rounds.
-    """
-    kept = materialize(docs.withColumn("__rid", F.monotonically_increasing_id()), "near-docs")
-    order = [F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(2**63 - 1)).alias("ord"), F.col("__rid").alias("rid")]
-    keyed = kept.select(*order, F.col(f"`{text_col}`").cast("string").alias("t"))
-    rows = materialize(with_fingerprints(keyed, ["ord", "rid"], "t", width, True), "near-rows")
-    texts = rows.groupBy("fp", "th").agg(F.min(F.struct("ord", "rid")).alias("rep"))
-    texts = materialize(texts.select("fp", "th", "rep.ord", "rep.rid"), "near-texts")
-    roots = materialize(components(near_links(texts.select("fp").distinct(), max_bits)), "near-roots")
-    rooted = texts.join(roots, texts["fp"] == roots["node"], "left").select("rid", "ord", F.coalesce("root", "fp").alias("root"))
-    sizes = rooted.groupBy("root").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("root")
-    some = materialize(rooted.join(sizes, "root", "left_semi"), "near-left")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1):
-                own = [np.unique(shingle_hashes(t, verify_width)).view(np.int64) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.list_(pa.int64()))], ["rid", "set"])
-
-    wanted = kept.select(F.col("__rid").alias("rid"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("t")).join(some.select("rid"), "rid", "left_semi")
-    shingles = materialize(wanted.mapInArrow(sets, "rid long, set array<long>"), "near-sets")
-    gone = rows.join(texts.select("rid"), "rid", "left_anti").select("rid")
-    n = F.size("set")
-    first = F.slice("set", 1, (n - F.ceil(F.lit(similarity) * n - 1e-9) + 1).cast("int"))
-    tokens = shingles.where(n > 0).join(some, "rid").select("rid", "ord", n.alias("n"), F.explode(first).alias("token"), "root")
-    tokens = materialize(tokens.withColumn("token", F.xxhash64("root", "token")).drop("root").distinct(), "near-tokens")
-    turn, k = 0, 1
-    while not tokens.isEmpty():
-        order = F.struct(F.lit(0).cast("long") if turn == 0 else F.xxhash64(F.lit(turn), "ord"), "ord", "rid")
-        live = tokens.withColumn("prio", order)
-        if k == 1:
-            heads = live.groupBy("token").agg(F.min(F.struct("prio", "n")).alias("l")).select("token", "l.prio", "l.n")
-        else:
-            nth = F.row_number().over(Window.partitionBy("token").orderBy("prio"))
-            heads = live.withColumn("nth", nth).where(F.col("nth") <= k).select("token", "prio", "n")
-        heads = materialize(heads.select("token", F.col("prio.rid").alias("lead"), F.col("prio").alias("lead_prio"), F.col("n").alias("lead_n")), "near-heads")
-        near = (F.col("rid") != F.col("lead")) & (F.least("n", "lead_n") >= F.lit(similarity) * F.greatest("n", "lead_n"))
-        pairs = live.join(heads, "token").where(near).select("rid", "lead", (F.col("lead_prio") < F.col("prio")).alias("earlier")).distinct()
-        pairs = pairs.join(shingles, "rid").join(shingles.select(F.col("rid").alias("lead"), F.col("set").alias("lead_set")), "lead")
-        common = F.size(F.array_intersect("set", "lead_set"))
-        same = common >= F.lit(similarity) * (F.size("set") + F.size("lead_set") - common)
-        pairs = materialize(pairs.where(same).select("rid", "lead", "earlier"), "near-pairs")
-        held = tokens.groupBy("rid").agg(F.count(F.lit(1)).alias("held"))
-        led = heads.groupBy("lead").agg(F.count(F.lit(1)).alias("led")).withColumnRenamed("lead", "rid")
-        stay = led.join(held, "rid").where("led = held").select("rid").join(pairs.where("earlier").select("rid"), "rid", "left_anti")
-        stay = materialize(stay, "near-stay")
-        lost = materialize(pairs.join(stay.select(F.col("rid").alias("lead")), "lead", "left_semi").select("rid").distinct(), "near-lost")
-        gone = gone.union(lost)
-        tokens = materialize(tokens.join(stay.union(lost), "rid", "left_anti"), "near-tokens")
-        turn, k = turn + 1, 4 * k
-    gone = materialize(gone.select(F.col("rid").alias("__rid")), "near-gone")
-    return kept.join(gone, "__rid", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

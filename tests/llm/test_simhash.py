@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from strata.llm import simhash
+from strata.llm import near_copies, simhash
 
 SCHEMA = "doc_id long, text string, component_id long"
 
@@ -56,6 +56,7 @@ def test_links_match_brute_force(spark, most, crowd):
     signed = np.array(values, np.uint64).view(np.int64).tolist()
     links = simhash.near_links(spark.createDataFrame([(v,) for v in signed], "fp long"), most, crowd)
     roots = {r.node: r.root for r in simhash.components(links).collect()}
+    assert roots == {r.node: r.root for r in simhash.components(links, small=0).collect()}
     want = brute_components({v: i for i, v in enumerate(values)}, most)
     got = {}
     for i, s in enumerate(signed):
@@ -85,7 +86,6 @@ def test_groups_match_brute_force(spark):
 
 def test_empty_table(spark):
     assert simhash.near_duplicate_groups(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert simhash.drop_near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_drop_keeps_one_of_each_group(spark):
@@ -95,6 +95,6 @@ def test_drop_keeps_one_of_each_group(spark):
     other = [f"v{rng.randrange(10**6)}" for _ in range(300)]
     rows = [(5, " ".join(base), 0), (2, " ".join(near), 0), (9, " ".join(base), 1), (7, " ".join(other), 0), (7, " ".join(other), 0), (None, "short", 0), (8, None, 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, rid long")
-    got = simhash.drop_near_duplicates(docs)
+    got = near_copies.drop_near_duplicates(docs)
     assert got.columns == docs.columns
     assert sorted(got.collect(), key=str) == sorted([docs.collect()[i] for i in (1, 3, 5, 6)], key=str)
