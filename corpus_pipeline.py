@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import decontaminate, hash_tree, importance, mixing, simhash
-from strata.llm.scratch import materialize
+from strata.llm import decontaminate, hash_tree, importance, mixing, near_copies
+from strata.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -18,8 +18,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more)."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near copies (linked by SimHash, and five-word shingles of similarity 0.8 or more)."""
+    return near_copies.drop_near_duplicates(docs)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
