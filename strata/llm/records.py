@@ -25,10 +25,12 @@ attempts and are never read. Files go through pyarrow's file
 systems by URI, so the shared folder may be any store that these reach. What
 the driver sees is one small row per file.
 
-*Encoding.* The whole text, by the tokenizers library. Byte-level pre-tokenisation never joins
-what stands before a single blank to what follows it, if both neighbours are no
-white space; texts are cut there and each distinct piece is encoded once per task
-run, in a bounded cache. Texts with other uses of blanks are encoded as a whole.
+*Encoding.* The whole text, by the tokenizers library. Byte-level pre-tokenisation always ends a token between a sign
+that is no white space and white space, between a letter and a dot or comma, and on both sides of a line end that stands
+alone; texts are cut there (``cut_places``, for signs that every version of Unicode reads alike; elsewhere a
+piece is longer). A run of texts is cut in numpy, its pieces are made distinct by Arrow, only pieces not
+met before are encoded, and ids are gathered by offsets from one flat array. That array and
+its dictionary are bounded (``CACHE``) and start anew beyond.
 
 Defined results: a null text is the empty text, whose record holds only the end
 id. Null ids come first. Rows that repeat an id follow each other, ordered by text. An
@@ -41,8 +43,8 @@ import os
 import re
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +53,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrow import slices
-from .scratch import materialize, scratch_path
+from ..scratch import materialize, scratch_path
 
-#: Pieces that are cut further before they are encoded: letters with the blank before them, dots and commas, a line end.
-PARTS = re.compile(r" ?[^\W\d_]+|[.,]+|\n(?=\S)")
+#: Pieces of signs that every version of Unicode reads alike, with no white space but one blank before them.
+PLAIN = re.compile("[ ]?[!-~\u00c0-\u00ff]+")
 END_ID = 0
+#: Most pieces, and most ids in units of 16, that a task keeps.
 CACHE = 1_000_000
+#: Bytes of texts encoded at once, and of record files read at once.
+RUN = 8_000_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -92,6 +97,21 @@ def payload_at(data: bytes, at: int) -> tuple[bytes, int]:
     return payload, at + 16 + size
 
 
+def cut_places(data: np.ndarray) -> np.ndarray:
+    """True at each byte of UTF-8 text before which it may be cut without changing its tokens."""
+    latin = np.zeros(len(data), bool)  # second bytes of U+00C0 to U+00FF
+    latin[1:] = data[:-1] == 0xC3
+    plain = (data > 0x20) & (data < 0x7F)
+    solid = plain | latin
+    small = data | 0x20
+    letter = (small >= 0x61) & (small <= 0x7A) & plain | latin & (data != 0x97) & (data != 0xB7)
+    line = data == 0x0A
+    cut = np.zeros(len(data), bool)
+    cut[1:] = solid[:-1] & (line | (data == 0x20))[1:] | letter[:-1] & ((data == 0x2E) | (data == 0x2C))[1:]
+    cut[2:] |= solid[:-2] & line[1:-1] & (plain | (data == 0xC3))[2:]
+    return cut
+
+
 class Encoder:
     """Texts to ids as bytes; the tokenizer's file is read once on the driver and travels as text."""
 
@@ -99,46 +119,70 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of a pool would spin
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.kind, self.cache = Tokenizer.from_str(spec), "I" if wide else "H", {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), 20_000):
-            found = self.tokenizer.encode_batch_fast(texts[at : at + 20_000], add_special_tokens=False)
-            out += [array(self.kind, e.ids).tobytes() for e in found]
-        return out
-
-    def _learn(self, pieces: set[str]) -> set[str]:
-        """Encode pieces into the cache; those with a blank where no cut is safe are returned instead."""
-        cache, unsafe, joined, alone = self.cache, set(), {}, set()
-        for p in pieces:
-            if p in ("", " ", "\0"):
-                unsafe.add(p)
-                continue
-            parts = PARTS.findall(p)
-            if "".join(parts) == p and all(x[-1] in ".,\n" or x.lstrip(" ").isalpha() for x in parts):
-                joined[p] = parts
-                alone.update(parts)
-            elif p[-1:].isspace() or p[1:2].isspace():
-                unsafe.add(p)
+        self.tokenizer, self.kind = Tokenizer.from_str(spec), "<u4" if wide else "<u2"
+        (self.line,) = self._ids(["\n"])[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(1 << 16, self.kind)
+        self.ends = np.zeros(1 << 12, np.int64)  # of piece n in flat, at n + 1
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces; they get the next numbers."""
+        plain = [x for x in pieces if PLAIN.fullmatch(x)]
+        odd = [x for x in pieces if not PLAIN.fullmatch(x)]
+        # A line end between two plain pieces is a token of its own, and no plain piece holds one: many are encoded as one text.
+        lines = ["\n".join([*plain[at : at + 1000], ""]) for at in range(0, len(plain), 1000)]
+        for some, ids in ((plain, self._ids(lines)), (odd, self._ids(odd))):
+            flat = np.fromiter(chain.from_iterable(ids), self.kind)
+            if some is plain:
+                gaps = flat == self.line
+                sizes, flat = np.diff(np.flatnonzero(gaps), prepend=-1) - 1, flat[~gaps]
             else:
-                alone.add(p)
-        fresh = list(alone.difference(cache))
-        cache.update(zip(fresh, self._whole(fresh), strict=True))
-        for p, parts in joined.items():
-            if len(parts) > 1:
-                cache[p] = b"".join([cache[x] for x in parts])
-        return unsafe
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        split = [t.replace(" ", "\0 ").split("\0") if "\0" not in t and t else ["\0"] for t in texts]
-        unsafe = self._learn({x for own in split for x in own}.difference(cache))
-        odd = [i for i, own in enumerate(split) if not unsafe.isdisjoint(own)] if unsafe else []
-        whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
-        return [whole[i] if i in whole else b"".join(map(cache.__getitem__, own)) for i, own in enumerate(split)]
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            if len(sizes) != len(some):
+                raise ValueError("the tokenizer does not keep line ends apart")
+            self._store(some, flat, sizes)
+
+    def _store(self, pieces: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        first, last = len(self.known), len(self.known) + len(pieces)
+        if last >= len(self.ends):
+            self.ends = np.append(self.ends, np.zeros(last, np.int64))
+        self.ends[first + 1 : last + 1] = self.ends[first] + np.cumsum(sizes)
+        if self.ends[last] > len(self.flat):
+            self.flat = np.append(self.flat, np.zeros(int(self.ends[last]), self.kind))
+        self.flat[self.ends[first] : self.ends[last]] = flat
+        self.known.update(zip(pieces, range(first, last), strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian bytes."""
+        if len(self.known) > CACHE or self.ends[len(self.known)] > 16 * CACHE:
+            self._forget()
+        texts = texts.cast(pa.large_string()).fill_null("")
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        buffer = texts.buffers()[2]
+        if bounds[0] == bounds[-1] or buffer is None:
+            return [b""] * len(texts)
+        data = np.frombuffer(buffer, np.uint8)[bounds[0] : bounds[-1]]
+        bounds = bounds - bounds[0]
+        cut = cut_places(data)
+        cut[bounds[:-1][np.diff(bounds) > 0]] = True
+        places = np.flatnonzero(cut)
+        whole = pa.LargeStringArray.from_buffers(len(places), pa.py_buffer(np.append(places, len(data))), pa.py_buffer(np.ascontiguousarray(data)))
+        coded = whole.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([x for x in distinct if x not in self.known])
+        pieces = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        start = self.ends[pieces]
+        sizes = self.ends[pieces + 1] - start
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(start - upto[:-1], sizes) + np.arange(upto[-1])].tobytes()
+        ends = (upto[np.searchsorted(places, bounds)] * np.dtype(self.kind).itemsize).tolist()
+        return [ids[a:b] for a, b in pairwise(ends)]
 
 
 _encoders: dict[int, Encoder] = {}
@@ -158,7 +202,8 @@ def write_records(docs: DataFrame, path: str, spec: str, vocabulary: int, id_col
     shared, end = spark.sparkContext.broadcast(spec), np.array([END_ID], "<u4" if wide else "<u2").tobytes()
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("t"))
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
+    # The text's start splits many rows of one id and agrees with the order below.
+    rows = rows.repartitionByRange(parts, F.col("id").asc_nulls_first(), F.substring("t", 1, 64)).sortWithinPartitions(F.col("id").asc_nulls_first(), "t")
     unit = 4 if wide else 2
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +215,8 @@ def write_records(docs: DataFrame, path: str, spec: str, vocabulary: int, id_col
         first = None
         with fs.open_output_stream(f"{root}/{name}") as out, fs.open_output_stream(f"{root}/{name}.idx") as index:
             for batch in batches:
-                for part in slices(batch, 1, 4_000_000):
-                    for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for part in slices(batch, 1, RUN):
+                    for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                         if not rows_done:
                             first = doc_id
                         whole = frame(pack(doc_id, ids + end, wide))
@@ -203,18 +248,21 @@ def read_records(manifest: DataFrame) -> DataFrame:
                 start, rows, held = before, [], 0
                 with fs.open_input_file(at_path) as data, fs.open_input_file(f"{at_path}.idx") as index:
                     offsets = np.frombuffer(index.read(), "<i8").reshape(-1, 2)
-                    size = data.size()
-                    ends = np.append(offsets[1:, 0], size)
-                    for (offset, count), stop in zip(offsets.tolist(), ends.tolist(), strict=True):
-                        payload, _ = payload_at(data.read_at(stop - offset, offset), 0)
-                        doc_id, ids = unpack(payload)
-                        if len(ids) != count:
-                            raise ValueError(f"index and record differ in {file} at {offset}")
-                        rows.append((doc_id, start, count, ids.tobytes()))
-                        start, held = start + count, held + 4 * count
-                        if held > 4_000_000:
-                            yield _read_batch(rows)
-                            rows, held = [], 0
+                    places = np.append(offsets[:, 0], data.size())
+                    at = 0
+                    while at < len(offsets):
+                        stop = max(at + 1, int(np.searchsorted(places, places[at] + RUN, "right")) - 1)
+                        block = data.read_at(int(places[stop] - places[at]), int(places[at]))
+                        for offset, count in offsets[at:stop].tolist():
+                            doc_id, ids = unpack(payload_at(block, offset - int(places[at]))[0])
+                            if len(ids) != count:
+                                raise ValueError(f"index and record differ in {file} at {offset}")
+                            rows.append((doc_id, start, count, ids.tobytes()))
+                            start, held = start + count, held + 4 * count
+                            if held > 4_000_000:
+                                yield _read_batch(rows)
+                                rows, held = [], 0
+                        at = stop
                 if rows:
                     yield _read_batch(rows)
 
