@@ -5,15 +5,16 @@ Texts are equal when they are identical after every character of
 normalised texts (the text is part of every grouping key, the digest only puts
 equal texts in one place):
 
-1. *local*: the map side of the first aggregation keeps one row per text and
-   salt in each task, so copies inside a task never travel;
-2. *salted*: rows meet by (digest, salt, text); a group that holds a third of
+1. *local*: rows are salted by their task, so the map side of the first aggregation leaves one row per
+   text and task, and copies inside a task never travel;
+2. *salted*: those rows meet by (digest, salt, text); a group that holds a third of
    all rows is spread over ``salts`` tasks;
 3. *global*: the at most ``salts`` winners of each text meet by (digest, text).
 
 Whole texts are shuffled twice, as distinct texts per task and per salt. The
-outcome then goes back to the documents through narrow rows (id, digest), again
-by (digest, salt). That last lookup goes by SHA-256, a second 64-bit hash and
+outcome then goes back to the documents through narrow rows (row number, id, digest), by
+(digest, salt) with a salt drawn from the row's number, so rows that repeat an id or have none spread like any others.
+That last lookup goes by SHA-256, a second 64-bit hash and
 the length; if two different texts ever shared all three, the query fails
 loudly and never merges them.
 
@@ -25,10 +26,11 @@ gives an empty result. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .names import fresh
+from ..scratch import materialize
 
 #: Characters that do not count, for a Java regular expression.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -51,49 +53,48 @@ def _id_of(rank: Column) -> Column:
     return F.when(by_id == 0, F.lit(None)).otherwise(_big(_TOP) - by_id).cast("long")
 
 
-def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. See the module's docstring."""
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("t"))
-    rows = rows.select("id", F.length("t").alias("len"), F.regexp_replace("t", BLANKS, "").alias("norm"))
-    rows = rows.select(
-        "id",
-        "len",
-        "norm",
-        F.unhex(F.sha2("norm", 256)).alias("dig"),
-        F.pmod(F.xxhash64("id", "len"), F.lit(salts)).cast("int").alias("salt"),
-    )
+def _outcome(rows: DataFrame, salts: int) -> DataFrame:
+    """row, id, t -> row, id, best (the rank of the row that stays), n, kept, dig."""
+    rows = rows.select("row", "id", F.length("t").alias("len"), F.regexp_replace("t", BLANKS, "").alias("norm"))
+    rows = rows.withColumn("dig", F.unhex(F.sha2("norm", 256)))
+    key = ["dig", "tag", "tag_len"]
     tag = [F.xxhash64("norm").alias("tag"), F.length("norm").alias("tag_len")]
-    narrow = materialize(rows.select("id", "len", "dig", "salt", *tag), "exact-rows")
+    salt = F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int").alias("salt")
+    narrow = materialize(rows.select("row", "id", "len", "dig", *tag, salt), "exact-rows")
 
     rank = _rank(F.col("len"), F.col("id"))
-    salted = rows.groupBy("dig", "salt", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("best"))
+    task = rows.withColumn("task", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    salted = task.groupBy("dig", "task", "norm").agg(F.count(F.lit(1)).alias("n"), F.max(rank).alias("best"))
     whole = salted.groupBy("dig", "norm").agg(F.sum("n").alias("n"), F.max("best").alias("best"))
-
-    key = ["dig", "tag", "tag_len"]
     texts = F.when(F.count(F.lit(1)) == 1, F.max("n")).otherwise(F.raise_error(F.lit("different texts share a digest")))
     outcome = whole.select("dig", *tag, "n", "best").groupBy(*key).agg(texts.cast("long").alias("n"), F.max("best").alias("best"))
-    by_salt = narrow.select(*key, "salt").distinct().join(outcome, key)
-    found = narrow.join(by_salt, [*key, "salt"])
 
-    again = Window.partitionBy(*key, "salt", "id", "len").orderBy("n")
-    found = found.withColumn("nth", F.row_number().over(again))
+    by_salt = narrow.groupBy(*key, "salt").agg(F.max(F.struct(rank.alias("best"), (-F.col("row")).alias("first"))).alias("top"))
+    stays = by_salt.groupBy(*key).agg((-F.max("top")["first"]).alias("stays"))
+    found = narrow.join(by_salt.select(*key, "salt").join(outcome.join(stays, key), key), [*key, "salt"])
+    return found.select("row", "id", "best", "n", (F.col("row") == F.col("stays")).alias("kept"), "dig")
+
+
+def _rows(docs: DataFrame, row: Column, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select(row.alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("t"))
+
+
+def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. See the module's docstring."""
+    found = _outcome(_rows(docs, F.monotonically_increasing_id(), id_col, text_col), salts)
     return found.select(
         F.col("id").alias("doc_id"),
         _id_of(F.col("best")).alias("keep_id"),
         F.col("n").alias("group_size"),
-        ((_rank(F.col("len"), F.col("id")) == F.col("best")) & (F.col("nth") == 1)).alias("kept"),
+        "kept",
         F.lower(F.hex("dig")).alias("text_sha256"),
     )
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32) -> DataFrame:
-    """The documents that stay, with their own columns. Rows with a null id stay only by their text's group."""
-    groups = duplicate_groups(docs, id_col, text_col, salts)
-    stay = groups.where("kept").select(F.col("doc_id").alias("__stay_id"), F.col("text_sha256").alias("__stay_sha")).distinct()
-    norm = F.regexp_replace(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), BLANKS, "")
-    length = F.length(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
-    keyed = docs.withColumns({"__sha": F.sha2(norm, 256), "__len": length, "__id": F.col(f"`{id_col}`").cast("long")})
-    first = Window.partitionBy("__id", "__sha").orderBy(F.desc("__len"))
-    joined = keyed.join(stay, F.expr("__id <=> __stay_id AND __sha = __stay_sha")).withColumn("__nth", F.row_number().over(first))
-    return joined.where("__nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The documents that stay, one row of each text, with their own columns."""
+    row = fresh(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "exact-docs")
+    stay = _outcome(_rows(numbered, F.col(row), id_col, text_col), salts).where("kept").select(F.col("row").alias(row))
+    return numbered.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
