@@ -6,13 +6,15 @@ least ``share`` of the item's shingles are the document's.
 
 *Search.* MinHash banding estimates Jaccard similarity, and an item of 30 shingles inside a
 document of 10,000 has a similarity near 0.003, where no banding has usable recall. The
-containment form used here keeps min-hash order but loses nothing: items are partitioned by size,
-and an item of n shingles keeps as its signature its k = n - ceil(share * n) + 1 smallest shingles in
-min-hash order (shingles of fewer items first). A document that holds at least ceil(share * n) of
-the n misses at most k - 1, so it holds one of any k: every document that shares no
-signature value is out, and so is one with fewer shingles than its partition's least item needs.
+containment form used here keeps min-hash order but loses nothing: items are partitioned by size (powers of two),
+the partition's largest item sets the length of the sketch, u - ceil(share * u) + 1 for u shingles, and
+an item's sketch is its so many smallest shingles in min-hash order (its bottom-k sketch; all, if it has fewer).
+A document that holds at least need = ceil(share * n) of the item's n misses at most n - need, so of the k in its sketch it
+holds at least k - (n - need): pairs with fewer hits are out, and so are documents with fewer shingles than
+their partition's least item needs. A shingle that many items or documents hold costs hits where it stands, which are summed before
+they are shuffled by (document, item); it is not a key of its own.
 Documents' shingles are hashed in place (explode inside one code-generated stage) and meet
-the signatures by hash; only (document, item) pairs with a hit are shuffled.
+the signatures by hash.
 
 *Verification.* The hit documents are read again, and their shingles are compared as strings with all
 shingles of the items they were hit for.
@@ -31,7 +33,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .names import counted, fresh
+from ..scratch import materialize
 
 
 def words_of(text: Column) -> Column:
@@ -50,25 +53,18 @@ def _parts(width: int) -> list[Column]:
     return [F.get(F.col("words"), F.col("at") + i) for i in range(width)]
 
 
-def _small(df: DataFrame, most_rows: int) -> DataFrame:
-    """Broadcast after a count, or leave the join to a shuffle."""
-    return F.broadcast(df) if df.count() <= most_rows else df
-
-
 def signatures(items: DataFrame, share: float, width: int, seed: int = 3) -> DataFrame:
-    """item, n, need, hash, shingle, nth (its place in the item), in_signature: one row per item class and distinct shingle."""
+    """item, n, need, hash, shingle, nth (its place in the item), in_signature, least (hits in it): one row per item class and distinct shingle."""
     rows = items.select(F.col("item_id").cast("long").alias("id"), words_of(F.col("text").cast("string")).alias("words")).where("words IS NOT NULL")
     classes = rows.groupBy("words").agg(F.min("id").alias("item"))
     shingles = _exploded(classes, width).select("item", F.xxhash64(*_parts(width)).alias("hash"), F.concat_ws(" ", *_parts(width)).alias("shingle")).distinct()
-    held = shingles.groupBy("hash").agg(F.count(F.lit(1)).alias("items"))
     sizes = shingles.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
-    rows = shingles.join(held, "hash").join(sizes, "item").withColumn("need", F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("long"))
-    order = Window.partitionBy("item").orderBy("items", F.xxhash64(F.lit(seed), "hash"), "shingle")
-    rows = rows.withColumn("nth", F.row_number().over(order))
-    part = F.floor(F.log2("n")).cast("int")
-    rows = rows.withColumn("part", part).withColumn("in_signature", F.col("nth") <= F.col("n") - F.col("need") + 1)
-    least = rows.groupBy("part").agg(F.min("need").alias("part_need"))
-    return rows.join(least, "part").drop("items")
+    rows = shingles.join(sizes, "item").withColumn("need", F.ceil(F.col("n") * F.lit(share) - F.lit(1e-9)).cast("long"))
+    order = Window.partitionBy("item").orderBy(F.xxhash64(F.lit(seed), "hash"), "shingle")
+    rows = rows.withColumn("nth", F.row_number().over(order)).withColumn("part", F.floor(F.log2("n")).cast("int"))
+    parts = rows.groupBy("part").agg(F.min("need").alias("part_need"), F.max(F.col("n") - F.col("need") + 1).alias("sketch"))
+    rows = rows.join(parts, "part").withColumn("sketch", F.least("sketch", "n"))
+    return rows.withColumn("in_signature", F.col("nth") <= F.col("sketch")).withColumn("least", F.col("sketch") - (F.col("n") - F.col("need")))
 
 
 def contained_items(
@@ -85,18 +81,19 @@ def contained_items(
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("th"), words_of(text).alias("words"))
 
-    signed = known.where("in_signature").select("hash", "item", "part_need")
+    signed = known.where("in_signature").select("hash", "item", "part_need", "least")
     probes = _exploded(rows, width).select("id", "th", F.greatest(F.size("words") - width + 1, F.lit(1)).alias("most"), F.xxhash64(*_parts(width)).alias("hash"))
-    hits = probes.join(_small(signed, most_rows), "hash").where("most >= part_need").select("id", "th", "item").distinct()
+    hits = probes.join(counted(signed, most_rows), "hash").where("most >= part_need")
+    hits = hits.groupBy("id", "th", "item", "least").agg(F.count(F.lit(1)).alias("n")).where("n >= least").select("id", "th", "item")
     hits = materialize(hits, "hits")
 
     found = hits.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th")).distinct()
-    of_hits = rows.join(_small(found, most_rows), F.expr("th = hit_th AND id <=> hit_id"), "left_semi")
+    of_hits = rows.join(counted(found, most_rows), F.expr("th = hit_th AND id <=> hit_id"), "left_semi")
     theirs = _exploded(of_hits, width).select("id", "th", F.xxhash64(*_parts(width)).alias("hash"), F.concat_ws(" ", *_parts(width)).alias("shingle"))
-    shared = theirs.join(_small(known.select("hash", "shingle", "item", "nth", "n", "need"), most_rows), ["hash", "shingle"])
-    counted = shared.select("id", "th", "item", "nth", "n", "need").distinct().groupBy("id", "th", "item", "n", "need").agg(F.count(F.lit(1)).alias("n_shared"))
-    counted = counted.where("n_shared >= need")
-    proved = counted.alias("c").join(hits.alias("h"), F.expr("c.th = h.th AND c.item = h.item AND c.id <=> h.id"), "left_semi")
+    shared = theirs.join(counted(known.select("hash", "shingle", "item", "nth", "n", "need"), most_rows), ["hash", "shingle"])
+    totals = shared.select("id", "th", "item", "nth", "n", "need").distinct().groupBy("id", "th", "item", "n", "need").agg(F.count(F.lit(1)).alias("n_shared"))
+    totals = totals.where("n_shared >= need")
+    proved = totals.alias("c").join(hits.alias("h"), F.expr("c.th = h.th AND c.item = h.item AND c.id <=> h.id"), "left_semi")
     return proved.select(F.col("id").alias("doc_id"), "th", F.col("item").alias("item_id"), F.col("n").alias("n_shingles"), "n_shared")
 
 
@@ -110,6 +107,7 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 2_000_000, **options) -> DataFrame:
     """The documents that hold no item, with the columns of docs."""
     found = contained_items(docs, items, id_col=id_col, text_col=text_col, most_rows=most_rows, **options)
-    gone = materialize(found.select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th")).distinct(), "contaminated")
-    same = (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col("__gone_th")) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone_id"))
-    return docs.join(_small(gone, most_rows), same, "left_anti")
+    gone_id, gone_th = fresh(docs, "gone_id"), fresh(docs, "gone_th")
+    gone = materialize(found.select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th)).distinct(), "contaminated")
+    same = (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(gone_th)) & F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(gone_id))
+    return docs.join(counted(gone, most_rows), same, "left_anti")
