@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from ..scratch import materialize
 
 #: region -> rack -> shard -> weight
 Tree = dict[int, dict[int, dict[int, float]]]
@@ -101,7 +101,8 @@ def assign_shards(
         "crc",
         shard_of(F.col("key"), tree, seed).alias("shard"),
         (shard_of(F.col("key"), grown, seed) if grown else F.lit(None).cast("int")).alias("grown"),
-        F.pmod(F.xxhash64(F.lit("slot"), "key", "crc"), F.lit(cuts)).cast("int").alias("cut"),
+        # Rows without an id may be alike by the thousand; which of them has which slot does not matter.
+        F.pmod(F.xxhash64(F.lit("slot"), "key", "crc", F.when(F.col("id").isNull(), F.monotonically_increasing_id())), F.lit(cuts)).cast("int").alias("cut"),
     )
     rows = materialize(rows, "shard-rows")
     counts = rows.groupBy("shard", "cut").agg(F.count(F.lit(1)).alias("n"))

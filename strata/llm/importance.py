@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import hash01, slices
-from .scratch import materialize
+from .names import fresh
+from ..scratch import materialize
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -149,11 +150,12 @@ def resample(
     buckets: int = 1 << 16,
     max_labelled: int = 50_000,
     seed: int = 17,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row per document: the columns id, row, log_weight, kept. `row` is docs' column `__row` if it has one."""
+    """One row per document: the columns id, row, log_weight, kept. `row` is docs' column row_col, if one is named."""
     named = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("quality").alias("good"))
     chosen = materialize(named.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(max_labelled), "labelled")
-    row = F.col("__row") if "__row" in docs.columns else F.lit(None).cast("long")
+    row = F.lit(None).cast("long") if row_col is None else F.col(f"`{row_col}`")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("t"))
     ratio = fit(rows.select("id", "t"), chosen, buckets)
     scored = materialize(score(rows, ratio, seed), "scores")
@@ -171,7 +173,8 @@ def resample(
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that the resampling keeps, with the columns of docs."""
-    numbered = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "quality-docs")
-    drawn = resample(numbered, labels, id_col, text_col, **options)
-    out = materialize(drawn.where("NOT kept").select(F.col("row").alias("__row")), "rejected")
-    return numbered.join(out, "__row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = fresh(docs, "row")
+    numbered = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "quality-docs")
+    drawn = resample(numbered, labels, id_col, text_col, row_col=own, **options)
+    out = materialize(drawn.where("NOT kept").select(F.col("row").alias(own)), "rejected")
+    return numbered.join(out, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -10,8 +10,10 @@ least 1 word and at most ``most_block``. The sources' targets get the blocks by
 (target / 1, / 3, / 5 ...). A divisor below and one above bracket the number of
 blocks within one per source, so only the quotients between the two, at most
 about two per source, are ranked. Each source is cut into shards of about
-``shard_blocks`` blocks by the hash of the id, and its blocks are apportioned to its
-shards in the same way: an integer quota per shard.
+``shard_blocks`` blocks by the hash of id and text, and its blocks are apportioned to its
+shards in the same way: an integer quota per shard. No shard takes more than ``most`` times its blocks; what one cannot take
+goes to the source's next shards with room. What is held over all sources at once, by windows in one task,
+is one row per source, and per source one row per shard (about a million words).
 
 Within a shard, documents lie end to end in the order of a seeded hash. A quota
 takes whole passes over the shard's blocks and then a seeded systematic draw of
@@ -20,7 +22,7 @@ left, up to half a block more or less.) What a document
 gives is the overlap of its stretch with the chosen blocks, in closed form; no
 block is ever a row.
 
-Defined results: a null text has size 0 and gives 0. A null source is a source
+Defined results: a null text has size 0; texts of size 0 give 0 and have no place in a shard (mix_shard and shard_quota are null). A null source is a source
 (the last). Rows that repeat an id lie beside each other, each with its own
 stretch. An empty table gives an empty result, and a table without words takes nothing.
 """
@@ -30,7 +32,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .names import fresh
+from ..scratch import materialize
 
 #: What counts as a word, for a Java regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -98,6 +101,7 @@ def mix(
         F.col(f"`{id_col}`").cast("long").alias("id"),
         F.col(f"`{source_col}`").cast("string").alias("source"),
         word_count(F.col(f"`{text_col}`").cast("string")).alias("size"),
+        F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("th"),
     )
     base = materialize(base.withColumn("skey", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))), "mix-rows")
     sources = base.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
@@ -110,15 +114,21 @@ def mix(
     planned = planned.withColumn("cuts", F.greatest(F.lit(1), F.ceil(F.col("source_size") / (F.col("block") * shard_blocks))).cast("long"))
     planned = materialize(planned.select("skey", "source_size", "target", "block", "cuts", F.col("quota").alias("seats")), "mix-sources")
 
-    rows = base.join(planned, "skey").withColumn("g", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "id"), F.col("cuts")))
+    every = base.join(planned, "skey")
+    rows = every.where("size > 0").withColumn("g", F.pmod(F.xxhash64(F.lit(seed), F.lit("shard"), "id", "th"), F.col("cuts")))
     shards = rows.groupBy("skey", "g", "seats", "block").agg(F.sum("size").alias("words"))
     quotas = highest_quotients(shards, ["skey"], ["g"], "words", "seats")
     quotas = quotas.select("skey", "g", "words", "quota", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block"))).cast("long").alias("nb"))
-    quotas = quotas.withColumn("quota", F.least("quota", (F.lit(most) * F.col("nb")).cast("long")))
+    full = (F.lit(most) * F.col("nb")).cast("long")
+    quotas = quotas.withColumn("room", F.greatest(full - F.col("quota"), F.lit(0))).withColumn("over", F.greatest(F.col("quota") - full, F.lit(0)))
+    earlier = Window.partitionBy("skey").orderBy("g").rowsBetween(Window.unboundedPreceding, -1)
+    left = F.sum("over").over(Window.partitionBy("skey")) - F.coalesce(F.sum("room").over(earlier), F.lit(0))
+    quotas = quotas.withColumn("more", F.greatest(F.lit(0), F.least("room", left)))
+    quotas = quotas.withColumn("quota", F.col("quota") - F.col("over") + F.col("more"))
     start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "skey", "g"), F.col("nb"))
     quotas = quotas.select("skey", "g", "quota", "nb", F.floor(F.col("quota") / F.col("nb")).alias("passes"), F.pmod("quota", "nb").alias("rest"), start.alias("start"))
 
-    line = Window.partitionBy("skey", "g").orderBy(F.xxhash64(F.lit(seed), F.lit("line"), "id"), "id", "size")
+    line = Window.partitionBy("skey", "g").orderBy(F.xxhash64(F.lit(seed), F.lit("line"), "id", "th"), "id", "th", "size")
     laid = rows.withColumn("upto", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0))).join(quotas, ["skey", "g"])
 
     def chosen_before(j: Column) -> Column:
@@ -132,16 +142,20 @@ def mix(
         return chosen_before(j) * F.col("block") + part
 
     taken = F.col("passes") * F.col("size") + given(F.col("upto")) - given(F.col("upto") - F.col("size"))
-    return laid.select(
+    place = ["id", "size", "source_size", "target", "source", "block", "th"]
+    out = laid.select(*place, taken.cast("long").alias("taken"), "g", "quota")
+    nothing = every.where("size = 0").select(*place, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("g"), F.lit(None).cast("long").alias("quota"))
+    return out.union(nothing).select(
         F.col("id").alias("doc_id"),
         "size",
         "source_size",
         "target",
-        taken.cast("long").alias("taken"),
+        "taken",
         "source",
         F.col("g").alias("mix_shard"),
         F.col("quota").alias("shard_quota"),
         "block",
+        F.col("th").alias("text_hash"),
     )
 
 
@@ -151,27 +165,25 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_co
     A row comes floor(taken / size) times, and once more if the draw of the remainders falls on it: along each source's
     shard, in order of size, the fractions add up from a seeded start, and each whole number passed is one copy. In that
     order the words delivered differ from the words taken by at most the shard's largest document.
-    Rows alike in id, source and size share their copies evenly.
+    Rows alike in id, source and text share their copies evenly.
     """
     skey = lambda c: F.coalesce(F.concat(F.lit("s"), c), F.lit("n"))
     ikey = lambda c: F.coalesce(c.cast("string"), F.lit("n"))
+    i, s, t, nth, times, alike, copy = (fresh(docs, x) for x in ("id", "source", "text_hash", "nth", "times", "alike", "copy"))
     rows = mixed.where("size > 0").select(
-        ikey(F.col("doc_id")).alias("__id"), skey(F.col("source")).alias("__source"), F.col("size").alias("__size"), "taken", "mix_shard"
+        ikey(F.col("doc_id")).alias(i), skey(F.col("source")).alias(s), F.col("text_hash").alias(t), "size", "taken", "mix_shard"
     )
-    line = Window.partitionBy("__source", "mix_shard").orderBy("__size", F.xxhash64(F.lit(seed), F.lit("copy"), "__id"), "__id", "taken")
-    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), "__source", "mix_shard"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    owed = F.sum(F.pmod("taken", "__size") / F.col("__size")).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("__passed", F.floor(owed + start))
-    drawn = F.col("__passed") - F.lag("__passed", 1, 0).over(line)
-    rows = rows.withColumn("__times", F.floor(F.col("taken") / F.col("__size")) + drawn)
-    keys = ["__id", "__source", "__size"]
-    alike = rows.groupBy(*keys).agg(F.sum("__times").alias("__times"), F.count(F.lit(1)).alias("__alike")).where("__times > 0")
+    line = Window.partitionBy(s, "mix_shard").orderBy("size", F.xxhash64(F.lit(seed), F.lit("copy"), i, t), i, t, "taken")
+    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("copies"), s, "mix_shard"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    owed = F.sum(F.pmod("taken", "size") / F.col("size")).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("passed", F.floor(owed + start))
+    drawn = F.col("passed") - F.lag("passed", 1, 0).over(line)
+    rows = rows.withColumn("copies", F.floor(F.col("taken") / F.col("size")) + drawn)
+    keys = [i, s, t]
+    shared = rows.groupBy(*keys).agg(F.sum("copies").alias(times), F.count(F.lit(1)).alias(alike)).where(F.col(times) > 0)
     text = F.col(f"`{text_col}`").cast("string")
-    keyed = docs.withColumns({
-        "__id": ikey(F.col(f"`{id_col}`").cast("long")), "__source": skey(F.col(f"`{source_col}`").cast("string")), "__size": word_count(text),
-    })
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(F.xxhash64(text)))
-    joined = keyed.withColumn("__nth", nth).join(alike, keys)
-    upto = lambda k: F.floor(F.col("__times") * k / F.col("__alike"))
-    copies = F.explode(F.array_repeat(F.lit(1), (upto(F.col("__nth")) - upto(F.col("__nth") - 1)).cast("int")))
-    return joined.withColumn("__copy", copies).select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.withColumns({i: ikey(F.col(f"`{id_col}`").cast("long")), s: skey(F.col(f"`{source_col}`").cast("string")), t: F.xxhash64(text)})
+    keyed = keyed.withColumn(nth, F.row_number().over(Window.partitionBy(*keys).orderBy(i)))
+    upto = lambda k: F.floor(F.col(times) * k / F.col(alike))
+    copies = F.explode(F.array_repeat(F.lit(1), (upto(F.col(nth)) - upto(F.col(nth) - 1)).cast("int")))
+    return keyed.join(shared, keys).withColumn(copy, copies).select(*[F.col(f"`{c}`") for c in docs.columns])
