@@ -21,6 +21,9 @@ links found are contracted before the next round. A token is done if its texts a
 one group or all of them have met, so no link between groups is lost, and a group
 of n near copies costs a few times n comparisons, not n * n.
 
+Row numbers of candidates and of what goes are broadcast only if they are at most ``most_rows`` (counted first), so that
+texts need not be shuffled to meet them; beyond that they are.
+
 Defined results: null and empty texts are copies of one another. A text of fewer than
 five words is one shingle. Repeated rows are copies. An empty table gives an empty table. All
 columns come back as they are, whatever their names.
@@ -38,12 +41,14 @@ from pyspark.sql import functions as F
 
 from .arrow import slices
 from .components import components
-from .names import fresh
-from .scratch import materialize
+from .names import counted, fresh
+from ..scratch import materialize
 from .simhash import search, shingle_hashes
 
 #: Buckets in which shingles are counted to order them; they steer cost only.
 HEAT = 4096
+#: Pairs (16 bytes each) up to which they are broadcast to the sets, so that those are shuffled once and not twice.
+MOST_PAIRS = 1_000_000
 #: The step and the two mixing rounds of the SplitMix64 generator.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
@@ -92,10 +97,15 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, columns: list[str], max_bits: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) that are links."""
+    """Those of the pairs (a, b) that are links. Sizes are compared first, so that few pairs carry sets."""
+    sizes = sets.select("rid", F.size("set").alias("n"))
+    for side in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("rid").alias(side), F.col("n").alias(f"{side}_n")), side)
+    pairs = pairs.where(F.least("a_n", "b_n") + 1e-9 >= similarity * F.greatest("a_n", "b_n")).select("a", "b")
     for side in ("a", "b"):
         own = [F.col(c).alias(f"{side}_{c}") for c in ("set", *columns)]
-        pairs = pairs.join(sets.select(F.col("rid").alias(side), *own), side)
+        few = counted(pairs, MOST_PAIRS) if side == "a" else pairs
+        pairs = sets.select(F.col("rid").alias(side), *own).join(few, side)
     apart = [F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in columns]
     near = F.least(*apart) <= max_bits if len(apart) > 1 else apart[0] <= max_bits
     common = F.size(F.array_intersect("a_set", "b_set"))
@@ -173,6 +183,7 @@ def drop_near_duplicates(
     verify_width: int = 5,
     similarity: float = 0.8,
     crowd: int = 256,
+    most_rows: int = 1_000_000,
 ) -> DataFrame:
     """The documents that stay, one of each group of near copies, with the columns of docs. See the module's docstring."""
     row = fresh(docs, "row")
@@ -189,16 +200,16 @@ def drop_near_duplicates(
     if inside is not None:
         inside = inside.withColumnRenamed("id", "rid")
         some = some.union(inside)
-    some = texts.join(some.distinct(), "rid", "left_semi").select("rid", *columns)
-    wanted = kept.select(F.col(row).alias("rid"), text).join(some.select("rid"), "rid", "left_semi")
-    sets = materialize(_shingle_sets(wanted, verify_width).join(some, "rid"), "near-sets")
+    some = materialize(texts.join(some.distinct(), "rid", "left_semi").select("rid", *columns), "near-some")
+    wanted = kept.select(F.col(row).alias("rid"), text).join(counted(some.select("rid"), most_rows), "rid", "left_semi")
+    sets = materialize(_shingle_sets(wanted, verify_width).join(counted(some, most_rows), "rid"), "near-sets")
     links = materialize(_alike(pairs, sets, columns, max_bits, similarity), "near-links")
     if inside is not None:
-        dense = materialize(sets.join(inside, "rid", "left_semi"), "near-dense-sets")
+        dense = materialize(sets.join(counted(inside, most_rows), "rid", "left_semi"), "near-dense-sets")
         links = _dense_links(dense, links, columns, max_bits, similarity)
     roots = materialize(components(links), "near-roots")
     member = roots.join(texts.select("rid", "ord"), F.col("node") == F.col("rid")).select("root", "rid", "ord")
     first = member.groupBy("root").agg(F.min(F.struct("ord", "rid")).alias("first")).select(F.col("first.rid").alias("rid"))
     gone = rows.join(texts, "rid", "left_anti").select("rid").union(roots.select(F.col("node").alias("rid")).join(first, "rid", "left_anti"))
     gone = materialize(gone.select(F.col("rid").alias(row)), "near-gone")
-    return kept.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.join(counted(gone, most_rows), row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
