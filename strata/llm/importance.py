@@ -38,8 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import hash01, slices
-from .names import fresh
-from ..scratch import materialize
+from .names import counted, fresh
+from ..scratch import materialize, temporary
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
@@ -171,10 +171,17 @@ def resample(
     return scored.select("id", "row", "log_weight", kept.alias("kept"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that the resampling keeps, with the columns of docs."""
-    own = fresh(docs, "row")
-    numbered = materialize(docs.withColumn(own, F.monotonically_increasing_id()), "quality-docs")
-    drawn = resample(numbered, labels, id_col, text_col, row_col=own, **options)
-    out = materialize(drawn.where("NOT kept").select(F.col("row").alias(own)), "rejected")
-    return numbered.join(out, own, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+def keep_good(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 2_000_000, **options
+) -> DataFrame:
+    """The documents that the resampling keeps, with the columns of docs.
+
+    The draw depends on id and text alone, so rows alike in both go or stay together, and docs need not be copied to number them.
+    """
+    own, gone_id, gone_th = fresh(docs, "row"), fresh(docs, "gone_id"), fresh(docs, "gone_th")
+    doc_id, th = F.col(f"`{id_col}`").cast("long"), F.xxhash64(F.col(f"`{text_col}`").cast("string"))
+    with temporary(docs.sparkSession):
+        drawn = resample(docs.withColumn(own, th), labels, id_col, text_col, row_col=own, **options)
+        out = drawn.where("NOT kept").select(F.col("id").alias(gone_id), F.col("row").alias(gone_th)).distinct()
+        out = materialize(out, "rejected", keep=True)
+    return docs.join(counted(out, most_rows), (th == F.col(gone_th)) & doc_id.eqNullSafe(F.col(gone_id)), "left_anti")

@@ -8,11 +8,18 @@ temporary folder chosen.
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's switch for deleting a plan's shuffle files when it ends, and not when the driver collects its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dirs: dict[str, str] = {}
+_open = threading.local()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,14 +40,41 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/strata/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: later plans start from files that outlive executors."""
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: later plans start from files that outlive executors.
+
+    The shuffle files of df's plan go once it is written. keep: the table stays when a ``temporary`` block ends.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, tag)
+    if not keep and getattr(_open, "paths", None) is not None:
+        _open.paths.append(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """What this thread materializes in the block is deleted at its end, except tables to keep; no plan may read it afterwards."""
+    outer, _open.paths = getattr(_open, "paths", None), []
+    try:
+        yield
+    finally:
+        paths, _open.paths = _open.paths, outer
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete this application's scratch tables; nothing that still reads from them may be used afterwards."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strata/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{shared_dir(spark)}/strata/{spark.sparkContext.applicationId}")
