@@ -51,7 +51,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_spans(_read(spark, sf_dir, "documents"))
+    found = pii.find_spans(_read(spark, sf_dir, "documents"), window=None)
     ranks = F.transform("base", lambda x: x["rank"])
     counts = [(F.size(ranks) - F.size(F.array_remove(ranks, k))).cast("long").alias(f"n_{pii.KINDS[k]}") for k in range(4)]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(pii.listing(F.col("base")), 256).alias("base_sha256"), pii.listing(pii.all_spans()).alias("spans"))

@@ -109,3 +109,77 @@ def test_very_long_text_is_linear(spark):
     data = [(1, "z" * 300_000 + " 1" * 50_000 + " 12." * 20_000 + " q@r.st", None)]
     (r,) = pii.find_spans(spark.createDataFrame(data, SCHEMA)).collect()
     assert [(b.rank, b.value) for b in r.base] == [(0, "q@r.st")]
+
+
+def brute_anywhere(texts, letters=4, disclosure=0.9):
+    """text -> {(start, end, full)}: rows that hold word and value count, and every place of a revealing word."""
+    n, n_e, n_t, n_te = len(texts), Counter(), Counter(), Counter()
+    found = {t: [m for m in re.finditer(r"[^\W\d_]+", t) if m.end() - m.start() >= letters] for t in texts}
+    for t in texts:
+        words, held = {m.group().lower() for m in found[t]}, {(b[1], b[3].lower()) for b in brute_base(t)}
+        n_t.update(words)
+        n_e.update(held)
+        n_te.update((e, w) for e in held for w in words)
+    full = {}
+    for (e, w), k in n_te.items():
+        own = math.log(n / n_e[e])
+        if own > 0 and math.log(n * k / (n_t[w] * n_e[e])) >= disclosure * own:
+            full[w] = full.get(w, False) or k == n_t[w]
+    out = {}
+    for t, ms in found.items():
+        base = brute_base(t)
+        apart = [m for m in ms if all(b[2] <= m.start() or b[0] >= m.end() for b in base)]
+        out[t] = {(m.start(), m.end(), full[m.group().lower()]) for m in apart if m.group().lower() in full}
+    return out
+
+
+def spread_rows():
+    """Words far from values, in rows without a value, in copies, beside several values, behind long runs without a word."""
+    rng = random.Random(5)
+    gap = " of the day and so on" * 12
+    out = [(i, f"Zarathus{gap} wrote{i % 3} to q@zar.org.{gap} Quentinus", None) for i in range(3)]
+    out += [(10, "here stands Quentinus alone, and zarathus, ZARATHUS", None), (11, None, None), (12, "", None), (None, "q@zar.org 7 " + "- " * 3000 + "behindall" + " 1" * 3000, None)]
+    words = ["alpha", "Beta", "gamma", "delta", "omega", "Étude", "日日日日", "sigma", "kappa", "lambda", "abc", "x́y", "𝄞note", "theta"]
+    values = ["a@b.org", "c@d.org", "1.2.3.4", "+1 (386) 555-3733", "alpha@kappa.org", "\n", "9,", "_"]
+    for i in range(60):
+        parts = [rng.choice(words[: 3 + i // 4]) for _ in range(rng.randrange(0, 90))] + rng.sample(values, rng.choice([0, 0, 1, 3]))
+        rng.shuffle(parts)
+        out.append((20 + i, " ".join(parts), None))
+    return out + [(100 + i, f"copies of alpha and secretname with mail{gap} copy@cat.org", None) for i in range(12)] + [(200 + i, f"plain row {gap}", None) for i in range(60)]
+
+
+def test_terms_of_whole_texts_match_brute_force(spark):
+    data = spread_rows()
+    texts = [t or "" for _, t, _ in data]
+    found = pii.find_spans(spark.createDataFrame(data, SCHEMA).repartition(5), window=None).collect()
+    terms = brute_anywhere(texts)
+    want = sorted(str((i, brute_base(t), sorted(terms[t]))) for (i, _, _), t in zip(data, texts, strict=True))
+    got = sorted(str((r.id, [(b.start, b.rank, b.end, b.value) for b in r.base], [tuple(x) for x in r.terms])) for r in found)
+    assert got == want
+    flags = [full for t in terms.values() for _, _, full in t]
+    assert True in flags and False in flags
+
+
+def test_query_marks_words_far_from_a_value_and_in_other_rows(spark, tmp_path):
+    data = spread_rows()
+    spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spans = {r.doc_id: r.spans.split(",") for r in queries.op8_pii(spark, str(tmp_path)).collect()}
+    assert len(spans) == len(data)
+    for i, t in [(0, data[0][1]), (10, data[3][1])]:
+        at = t.index("Quentinus")
+        assert f"term:{at}:{at + 9}" in spans[i]
+
+
+def test_sanitized_words_far_from_a_value(spark):
+    data = spread_rows()
+    out = {r.doc_id: r.text for r in pii.sanitize(spark.createDataFrame(data, SCHEMA)).collect()}
+    gap = " of the day and so on" * 12
+    assert out[0] == f"[TERM]{gap} 0 to [EMAIL].{gap} [TERM]"
+    assert out[10] == "here stands [TERM] alone, and [TERM], [TERM]"
+    assert out[200] == data[-60][1]
+
+
+def test_whole_text_of_many_words(spark):
+    text = "z" * 300_000 + " 1" * 50_000 + " word" * 60_000 + " q@r.st" + " 1" * 150_000
+    (r, _) = pii.find_spans(spark.createDataFrame([(1, text, None), (2, "word", None)], SCHEMA), window=None).orderBy("id").collect()
+    assert [(x.start, x.end, x.full) for x in r.terms] == [(0, 300_000, True)]
