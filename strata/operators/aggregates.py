@@ -31,11 +31,15 @@ def mode(x: Column | str) -> Column:
 
 
 def corr(x: Column | str, y: Column | str) -> Column:
-    """NULL for fewer than two pairs or without variance."""
+    """NULL for fewer than two pairs or without variance.
+
+    A constant has equal least and greatest values; its merged variance can be a rounding error above 0.
+    """
     a, b = _c(x), _c(y)
     both = a.isNotNull() & b.isNotNull()
     a, b = F.when(both, a), F.when(both, b)
-    return F.when(F.count(a) > 1, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
+    flat = ((F.min(a) == F.max(a)) & ~F.isnan(F.min(a))) | ((F.min(b) == F.max(b)) & ~F.isnan(F.min(b)))
+    return F.when((F.count(a) > 1) & ~flat, F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def covar_samp(x: Column | str, y: Column | str) -> Column:
