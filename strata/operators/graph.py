@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import materialize
+from ..scratch import in_buckets, materialize, tasks_for
 
 #: Most edges that one task may hold for the algorithms that need the whole graph.
 WHOLE_GRAPH_EDGES = 2_000_000
@@ -231,21 +231,33 @@ def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 
 def k_core(edges: DataFrame) -> DataFrame:
-    """node, core: peeling, all nodes below k at once."""
-    left = materialize(edges.where("src <> dst").select("src", "dst").union(edges.where("src <> dst").select("dst", "src")).distinct(), "core-edges")
-    alone = nodes(edges).join(left.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-    out, k = alone.withColumn("core", F.lit(0)), 1
-    while not left.isEmpty():
-        degrees = materialize(left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d")), "core-degrees")
-        k = max(k, degrees.agg(F.min("d")).first()[0])
-        weak = degrees.where(F.col("d") <= k).select("node")
-        drop = weak.select(F.col("node").alias("src"))
-        next_left = left.join(drop, "src", "left_anti").join(weak.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
-        next_left = materialize(next_left, "core-edges")
-        out = out.union(weak.withColumn("core", F.lit(k)))
-        freed = left.select(F.col("src").alias("node")).distinct().join(weak, "node", "left_anti").join(next_left.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
-        out = out.union(materialize(freed.withColumn("core", F.lit(k)), "core-freed"))
-        left = next_left
+    """node, core: peeling, all nodes below k at once.
+
+    The edges are written once, in buckets by src, and never shuffled again: a round joins the nodes that go with their edges
+    in place and deals out one number per neighbour. Edges of nodes that are gone are dropped once they are half of all.
+    """
+    ends = edges.where("src <> dst").select("src", "dst")
+    buckets = tasks_for(ends, 2)
+    left = in_buckets(ends.union(ends.select("dst", "src")), "core-edges", "src", buckets)
+    degrees = materialize(left.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("d")), "core-degrees")
+    alone = edges.where("src = dst").select(F.col("src").alias("node")).distinct().join(degrees, "node", "left_anti")
+    out, alive, k, ends_left = alone.withColumn("core", F.lit(0)), degrees, 1, lambda d: d.agg(F.min("d"), F.coalesce(F.sum("d"), F.lit(0))).first()
+    least, total = ends_left(alive)
+    kept = total
+    while total:
+        k = max(k, least)
+        weak = alive.where(F.col("d") <= k).select("node")
+        lost = left.join(weak.withColumnRenamed("node", "src").hint("shuffle_hash"), "src").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("less"))
+        state = alive.where(F.col("d") > k).join(lost, "node", "left").select("node", (F.col("d") - F.coalesce("less", F.lit(0))).alias("d"))
+        state = materialize(state, "core-degrees")
+        out = out.union(weak.union(state.where("d = 0").select("node")).withColumn("core", F.lit(k)))
+        alive = state.where("d > 0")
+        least, total = ends_left(alive)
+        if total and 2 * total < kept:
+            here = alive.select("node")
+            left = left.join(here.withColumnRenamed("node", "src").hint("shuffle_hash"), "src", "left_semi").join(here.withColumnRenamed("node", "dst"), "dst", "left_semi")
+            left = in_buckets(left.select("src", "dst"), "core-edges", "src", buckets)
+            kept = total
     return out
 
 

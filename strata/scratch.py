@@ -45,17 +45,46 @@ def materialize(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
 
     The shuffle files of df's plan go once it is written. keep: the table stays when a ``temporary`` block ends.
     """
-    spark = df.sparkSession
+    path = _new_table(df.sparkSession, tag, keep)
+    with _shuffles_cleaned(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_buckets(df: DataFrame, tag: str, key: str, buckets: int) -> DataFrame:
+    """Like materialize, in hash buckets of key, each row once: joins on the key leave these rows where they are.
+
+    A bucket is one task. buckets should be at least spark.sql.shuffle.partitions, or Spark may shuffle the rows again.
+    """
+    spark, name = df.sparkSession, f"strata_{uuid.uuid4().hex}"
+    path = _new_table(spark, tag, False)
+    with _shuffles_cleaned(spark):
+        df.repartition(buckets, key).distinct().write.bucketBy(buckets, key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files stay, as the table is external
+    return out
+
+
+def tasks_for(df: DataFrame, times: int = 1, rows: int = 1_000_000) -> int:
+    """Tasks that hold about `rows` rows each of `times` df (counted), at least spark.sql.shuffle.partitions."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() * times // rows))
+
+
+def _new_table(spark: SparkSession, tag: str, keep: bool) -> str:
     path = scratch_path(spark, tag)
     if not keep and getattr(_open, "paths", None) is not None:
         _open.paths.append(path)
+    return path
+
+
+@contextmanager
+def _shuffles_cleaned(spark: SparkSession) -> Iterator[None]:
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        yield
     finally:
         spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
