@@ -5,10 +5,9 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.udf import Functions, TypeProvider
+from ..functions.udf import Functions, MergeableAggregate, TypeProvider
 from ..operators import dml, events, sharding
 from ..scratch import materialize
 from ..sources import tables
@@ -354,6 +353,15 @@ def _(t):
     return t("part").select("p_partkey", F.round(fn("p_retailprice"), 4).alias("gross"))
 
 
+_SPREAD = MergeableAggregate(
+    "lo double, hi double",
+    lambda groups: pd.DataFrame({"lo": groups.min(), "hi": groups.max()}),
+    lambda groups: pd.DataFrame({"lo": groups["lo"].min(), "hi": groups["hi"].max()}),
+    lambda states: states["hi"] - states["lo"],
+    "double",
+)
+
+
 @R.code("udaf", "SELECT l_returnflag, round(max(l_quantity) - min(l_quantity), 4) AS spread FROM lineitem GROUP BY l_returnflag")
 def _(t):
     def spread(x: pd.Series) -> float:
@@ -365,11 +373,8 @@ def _(t):
 
 @R.code("window_udf", "SELECT l_orderkey, l_linenumber, round(max(l_quantity) OVER w - min(l_quantity) OVER w, 4) AS spread FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
 def _(t):
-    def spread_over(x: pd.Series) -> float:
-        return float(x.max() - x.min())
-
-    fn = Functions(t("lineitem").sparkSession).aggregate("spread_over", spread_over, "double")
-    return t("lineitem").select("l_orderkey", "l_linenumber", F.round(fn("l_quantity").over(Window.partitionBy("l_orderkey")), 4).alias("spread"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    return _SPREAD.over(rows, ["l_orderkey"], "l_quantity", "spread").select("l_orderkey", "l_linenumber", F.round("spread", 4).alias("spread"))
 
 
 @R.code("custom_type", "SELECT n_nationkey, CAST(n_regionkey AS DOUBLE) AS re, CAST(n_nationkey AS DOUBLE) AS im FROM nation")
