@@ -364,11 +364,7 @@ _SPREAD = MergeableAggregate(
 
 @R.code("udaf", "SELECT l_returnflag, round(max(l_quantity) - min(l_quantity), 4) AS spread FROM lineitem GROUP BY l_returnflag")
 def _(t):
-    def spread(x: pd.Series) -> float:
-        return float(x.max() - x.min())
-
-    fn = Functions(t("lineitem").sparkSession).aggregate("spread", spread, "double")
-    return t("lineitem").groupBy("l_returnflag").agg(F.round(fn("l_quantity"), 4).alias("spread"))
+    return _SPREAD.by(t("lineitem"), ["l_returnflag"], "l_quantity", "spread").withColumn("spread", F.round("spread", 4))
 
 
 @R.code("window_udf", "SELECT l_orderkey, l_linenumber, round(max(l_quantity) OVER w - min(l_quantity) OVER w, 4) AS spread FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")

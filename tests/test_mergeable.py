@@ -33,6 +33,6 @@ def test_groups_and_windows(spark, monkeypatch):
 def test_user_aggregates_of_queries_call_nothing_per_group(spark):
     from strata.plans import registry
 
-    for name in ("window_udf",):
+    for name in ("udaf", "window_udf"):
         plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" in plan and "spread(" not in plan and "spread_over(" not in plan
