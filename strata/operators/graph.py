@@ -32,8 +32,8 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 
 def bfs(edges: DataFrame, start, depth: int) -> DataFrame:
-    """node, depth: everything within `depth` steps, the start included."""
-    edges = edges.select("src", "dst").distinct()
+    """node, depth: everything within `depth` steps, the start included. Repeated edges only repeat reached nodes, so edges stay as they are."""
+    edges = edges.select("src", "dst")
     kind = dict(edges.dtypes)["src"]
     seen = edges.sparkSession.range(1).select(F.lit(start).cast(kind).alias("node"), F.lit(0).alias("depth"))
     frontier = seen

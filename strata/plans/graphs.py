@@ -40,13 +40,12 @@ _REACH = """{extra} reach AS (SELECT 1 AS node, 0 AS d UNION SELECT e.dst, reach
 
 @R.code("bfs_depth", "WITH RECURSIVE b AS (" + _BIPARTITE + "), e AS (SELECT s AS src, p AS dst FROM b)," + _REACH.format(extra="", depth=3))
 def _(t):
-    pairs = t("lineitem").select(F.col("l_suppkey").alias("s"), (F.col("l_partkey") + 1_000_000).alias("p")).distinct()
-    return g.bfs(g.load_edges(pairs, "s", "p"), 1, 3)
+    return g.bfs(supplied(t), 1, 3)
 
 
 @R.code("bidirectional_reach", "WITH RECURSIVE b AS (" + _BIPARTITE + "), e AS (SELECT s AS src, p AS dst FROM b UNION ALL SELECT p, s FROM b)," + _REACH.format(extra="", depth=2))
 def _(t):
-    return g.bidirectional(bipartite(t).where("src < dst"), 1, 2)
+    return g.bidirectional(supplied(t), 1, 2)
 
 
 @R.code("graph_traverse", "WITH RECURSIVE " + _TRADE + "," + _REACH.format(extra="", depth=2).replace("CAST(node AS BIGINT) AS node, CAST(min(d) AS INT) AS depth FROM reach GROUP BY node", "DISTINCT CAST(node AS BIGINT) AS node FROM reach"))
@@ -80,7 +79,7 @@ def _(t):
 
 @R.code("degree", "WITH b AS (" + _BIPARTITE + "), e AS (SELECT s AS src FROM b UNION ALL SELECT p FROM b) SELECT src AS node, count(*) AS degree, round(count(*) / ((SELECT count(DISTINCT src) FROM e) - 1), 9) AS centrality FROM e GROUP BY src")
 def _(t):
-    return g.degree(bipartite(t)).withColumn("centrality", F.round("centrality", 9))
+    return g.degree(g.load_edges(supplied(t).distinct(), "src", "dst", directed=False)).withColumn("centrality", F.round("centrality", 9))
 
 
 @R.code("closeness", "WITH RECURSIVE " + _TRADE + """, r AS (SELECT DISTINCT src AS s, src AS node, 0 AS d FROM e UNION SELECT r.s, e.dst, r.d + 1 FROM r JOIN e ON e.src = r.node WHERE r.d < 24),
@@ -119,7 +118,7 @@ def _(t):
 
 @R.code("components_bipartite", "WITH RECURSIVE b AS (" + _BIPARTITE + "), e AS (SELECT s AS src, p AS dst FROM b UNION ALL SELECT p, s FROM b), l(node, label) USING KEY (node) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, min(l.label) FROM l JOIN e ON e.src = l.node JOIN recurring.l AS r ON r.node = e.dst WHERE l.label < r.label GROUP BY e.dst) SELECT node, label AS component FROM l")
 def _(t):
-    return g.components(bipartite(t))
+    return g.components(g.load_edges(supplied(t).distinct(), "src", "dst", directed=False))
 
 
 @R.code("density", "WITH " + _TRADE + " SELECT count(DISTINCT src) AS nodes, CAST(count(*) / 2 AS BIGINT) AS edges, round(count(*) / (count(DISTINCT src) * (count(DISTINCT src) - 1)), 9) AS density FROM e")

@@ -27,3 +27,20 @@ def test_rows_in_buckets_stay_where_they_are(spark):
     assert joined.count() == 143
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Sort " not in plan
+
+
+def spied(monkeypatch, module):
+    """Plans of what the module materializes, by tag."""
+    plans = {}
+    real = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, tag, *a: plans.setdefault(tag, []).append(df._jdf.queryExecution().optimizedPlan().toString()) or real(df, tag, *a))
+    return plans
+
+
+def test_reach_does_not_gather_the_edges(spark, monkeypatch):
+    """Only a step's reached nodes are made distinct, not the edges."""
+    plans = spied(monkeypatch, graph)
+    pairs = spark.createDataFrame([(1, 10), (1, 10), (2, 10), (2, 11), (3, 11)], "a long, b long")
+    got = graph.bidirectional(graph.load_edges(pairs, "a", "b"), 1, 2).collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (2, 2), (10, 1)]
+    assert plans["bfs"][0].count("Aggregate") == 1
