@@ -115,10 +115,19 @@ def shortest_path(edges: DataFrame, start, goal, ahead: DataFrame | None = None)
     return known.where(at_goal).select("best.cost", "best.path", F.lit(expanded).alias("expanded"))
 
 
-def degree(edges: DataFrame) -> DataFrame:
-    """node, degree, centrality (degree / (n - 1)) of an undirected graph with both directions."""
-    n = nodes(edges).agg(F.count(F.lit(1)).alias("n"))
-    per = edges.select("src", "dst").distinct().groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("degree"))
+def degree(edges: DataFrame, once: bool = False) -> DataFrame:
+    """node, degree, centrality (degree / (n - 1)) of an undirected graph with both directions; once: given in one of them.
+
+    Edges are dealt out by both ends, about a million to a task, before repeats are dropped: no task's share grows with the table.
+    """
+    a, b = ("src", "dst") if not once else (F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
+    pairs = edges.select(a, b).repartition(tasks_for(edges), "src", "dst").distinct()
+    if once:
+        ends = pairs.select(F.explode(F.when(F.col("src") == F.col("dst"), F.array("src")).otherwise(F.array("src", "dst"))).alias("node"))
+    else:
+        ends = pairs.select(F.col("src").alias("node"))
+    per = materialize(ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    n = (per if once else per.select("node").union(pairs.select("dst")).distinct()).agg(F.count(F.lit(1)).alias("n"))
     return per.crossJoin(F.broadcast(n)).select("node", "degree", F.try_divide(F.col("degree"), F.col("n") - 1).alias("centrality"))  # one row
 
 

@@ -79,7 +79,7 @@ def _(t):
 
 @R.code("degree", "WITH b AS (" + _BIPARTITE + "), e AS (SELECT s AS src FROM b UNION ALL SELECT p FROM b) SELECT src AS node, count(*) AS degree, round(count(*) / ((SELECT count(DISTINCT src) FROM e) - 1), 9) AS centrality FROM e GROUP BY src")
 def _(t):
-    return g.degree(g.load_edges(supplied(t).distinct(), "src", "dst", directed=False)).withColumn("centrality", F.round("centrality", 9))
+    return g.degree(supplied(t), once=True).withColumn("centrality", F.round("centrality", 9))
 
 
 @R.code("closeness", "WITH RECURSIVE " + _TRADE + """, r AS (SELECT DISTINCT src AS s, src AS node, 0 AS d FROM e UNION SELECT r.s, e.dst, r.d + 1 FROM r JOIN e ON e.src = r.node WHERE r.d < 24),

@@ -44,3 +44,12 @@ def test_reach_does_not_gather_the_edges(spark, monkeypatch):
     got = graph.bidirectional(graph.load_edges(pairs, "a", "b"), 1, 2).collect()
     assert sorted(map(tuple, got)) == [(1, 0), (2, 2), (10, 1)]
     assert plans["bfs"][0].count("Aggregate") == 1
+
+
+def test_degree_deals_out_edges_before_repeats_go(spark, monkeypatch):
+    plans = spied(monkeypatch, graph)
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (2, 3), (4, 4)], "a long, b long")
+    want = {(1, 1, 1 / 3), (2, 2, 2 / 3), (3, 1, 1 / 3), (4, 1, 1 / 3)}
+    assert {tuple(r) for r in graph.degree(graph.load_edges(pairs, "a", "b", directed=False)).collect()} == want
+    assert "RepartitionByExpression" in plans["degree"][0]
+    assert {tuple(r) for r in graph.degree(graph.load_edges(pairs, "a", "b"), once=True).collect()} == want
