@@ -39,8 +39,9 @@ def route(predicates: dict[str, object], shard_key: str, shards: int, assign) ->
 
 
 def write_sharded(df: DataFrame, shard: Column, path: str) -> None:
-    """One folder per shard: an equality on the shard column prunes the others."""
-    df.withColumn("shard", shard).repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """One folder per shard: an equality on the shard column prunes the others. Each task writes its own rows, a file per shard:
+    a shard's rows never meet in one task."""
+    df.withColumn("shard", shard).write.mode("overwrite").partitionBy("shard").parquet(path)
 
 
 def lww(df: DataFrame, keys: list[str], value: str, ts: str, tie: str) -> DataFrame:
