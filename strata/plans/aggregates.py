@@ -122,7 +122,14 @@ for _name, _expr in {
 }.items():
     R.sql(_name, f"SELECT o_orderkey, {_expr} AS v FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)")
 
-R.sql("window_multi", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS BIGINT) AS v FROM lineitem")
+
+@R.code("window_multi", "SELECT l_orderkey, l_linenumber, CAST(row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS BIGINT) AS v FROM lineitem")
+def _(t):
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_extendedprice")
+    order = [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return win.row_numbers(rows, ["l_returnflag", "l_linestatus"], order, "v").select("l_orderkey", "l_linenumber", "v")
+
+
 R.sql("topk_per_group", "SELECT * FROM (SELECT p_brand, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS BIGINT) AS r FROM part) q WHERE r <= 3")
 
 
