@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strata.operators import sharding, windows
+from strata.plans import registry
 
 
 def test_a_shard_is_written_by_many_tasks(spark, tmp_path):
@@ -25,3 +26,8 @@ def test_row_numbers_of_large_groups(spark, monkeypatch):
     want = rows.withColumn("v", F.row_number().over(Window.partitionBy("g").orderBy(*order)).cast("long"))
     assert got.columns == want.columns and sorted(map(tuple, got.select("id", "v").collect())) == sorted(map(tuple, want.select("id", "v").collect()))
     assert kept[0].where("g = 'a'").select(F.shiftright("__at", 33)).distinct().count() > 1
+
+
+def test_no_sketch_per_distinct_value(spark):
+    plan = registry.QUERIES["approx_distinct_bound"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("approx_count_distinct(" in line and "count(distinct" in line for line in plan.splitlines())
