@@ -118,7 +118,7 @@ def _(t):
 
 @R.code("components_bipartite", "WITH RECURSIVE b AS (" + _BIPARTITE + "), e AS (SELECT s AS src, p AS dst FROM b UNION ALL SELECT p, s FROM b), l(node, label) USING KEY (node) AS (SELECT DISTINCT src, src FROM e UNION SELECT e.dst, min(l.label) FROM l JOIN e ON e.src = l.node JOIN recurring.l AS r ON r.node = e.dst WHERE l.label < r.label GROUP BY e.dst) SELECT node, label AS component FROM l")
 def _(t):
-    return g.components(g.load_edges(supplied(t).distinct(), "src", "dst", directed=False))
+    return g.components(supplied(t))
 
 
 @R.code("density", "WITH " + _TRADE + " SELECT count(DISTINCT src) AS nodes, CAST(count(*) / 2 AS BIGINT) AS edges, round(count(*) / (count(DISTINCT src) * (count(DISTINCT src) - 1)), 9) AS density FROM e")

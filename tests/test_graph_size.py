@@ -53,3 +53,31 @@ def test_degree_deals_out_edges_before_repeats_go(spark, monkeypatch):
     assert {tuple(r) for r in graph.degree(graph.load_edges(pairs, "a", "b", directed=False)).collect()} == want
     assert "RepartitionByExpression" in plans["degree"][0]
     assert {tuple(r) for r in graph.degree(graph.load_edges(pairs, "a", "b"), once=True).collect()} == want
+
+
+def test_components_contract_within_tasks(spark, monkeypatch):
+    """Edges are read once; what is dealt out is a row per node and task."""
+    plans = spied(monkeypatch, graph)
+    dense = spark.range(0, 4000, 1, 4).select((F.col("id") % 40).alias("a"), (F.col("id") * 7 % 40).alias("b"))
+    path = spark.range(100, 160, 1, 3).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    loop = spark.createDataFrame([(500, 500), (-3, 160), (-3, None)], "a long, b long")
+    rows = dense.union(path.orderBy(F.xxhash64("a"))).union(loop)
+    near = {}
+    for a, b in rows.where("b IS NOT NULL").collect():
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {}
+    for v in sorted(near):
+        todo = [] if v in want else [v]
+        while todo:
+            if (w := todo.pop()) not in want:
+                want[w] = v
+                todo += near[w]
+    got = {r.node: r.component for r in graph.components(graph.load_edges(rows, "a", "b")).collect()}
+    assert got == want
+    monkeypatch.setattr(graph, "ONE_TASK_LINKS", 0)
+    assert {r.node: r.component for r in graph.components(graph.load_edges(rows.where("a >= 0 AND a <> 500"), "a", "b")).collect()} == {v: c for v, c in want.items() if v not in (-3, 500)} | {v: 100 for v in range(100, 161)}
+    monkeypatch.undo()
+    assert len(plans["forest"]) == 2
+    words = spark.createDataFrame([("b", "c"), ("a", "b"), ("x", "y")], "a string, b string")
+    assert {r.node: r.component for r in graph.components(graph.load_edges(words, "a", "b")).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
